@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import rankmerge
+from sightline.llm import packing, rankmerge, simhash
 from sightline.llm.common import read
 
 
@@ -21,8 +21,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankmerge.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts}
+    named = (op3_token_counts, op5_pack_sequences, op9_simhash_groups)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
