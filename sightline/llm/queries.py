@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import packing, rankmerge, simhash
+from sightline.llm import audio, packing, quality, rankmerge, simhash
 from sightline.llm.common import read
 
 
@@ -17,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.payload_features(audio.payload_media(read(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankmerge.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -29,8 +34,14 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit_on_labels(docs, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_token_counts, op5_pack_sequences, op9_simhash_groups)
+    named = (op1_telephony_audio, op3_token_counts, op5_pack_sequences, op9_simhash_groups, op10_quality_scores)
     return {f.__name__: f for f in named}
 
 
