@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import audio, packing, quality, rankmerge, simhash
+from sightline.llm import audio, packing, pii, quality, rankmerge, simhash
 from sightline.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankmerge.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(read(spark, sf_dir, "documents"), pii.train())
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,7 +45,7 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_telephony_audio, op3_token_counts, op5_pack_sequences, op9_simhash_groups, op10_quality_scores)
+    named = (op1_telephony_audio, op3_token_counts, op4_personal_data, op5_pack_sequences, op9_simhash_groups, op10_quality_scores)
     return {f.__name__: f for f in named}
 
 
