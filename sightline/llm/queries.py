@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import audio, packing, pii, quality, rankmerge, simhash
+from sightline.llm import audio, license, packing, pii, quality, rankmerge, simhash
 from sightline.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -45,9 +49,9 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_telephony_audio, op3_token_counts, op4_personal_data, op5_pack_sequences, op9_simhash_groups, op10_quality_scores)
+    named = (op1_telephony_audio, op3_token_counts, op4_personal_data, op5_pack_sequences, op8_license_scan, op9_simhash_groups, op10_quality_scores)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": license.oracle()}
