@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import audio, license, linededup, packing, pii, quality, rankmerge, simhash
+from sightline.llm import audio, htmltext, license, linededup, packing, pii, quality, rankmerge, simhash
 from sightline.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.summary(read(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_telephony_audio, op3_token_counts, op4_personal_data, op5_pack_sequences, op6_line_dedup, op8_license_scan, op9_simhash_groups, op10_quality_scores)
+    named = (op1_telephony_audio, op3_token_counts, op4_personal_data, op5_pack_sequences, op6_line_dedup, op7_main_text, op8_license_scan, op9_simhash_groups, op10_quality_scores)
     return {f.__name__: f for f in named}
 
 
