@@ -184,3 +184,16 @@ def score(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[k].alias(f"kept_{k}") for k in keep])
     schema = ", ".join(["doc_id long", "score double", *(f"`kept_{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)])
     return map_arrow(rows, run, schema, rows=256, size=1 << 20).select("doc_id", "score", *[F.col(f"kept_{k}").alias(k) for k in keep if k not in ("doc_id", "score")])
+
+
+def keep_good(docs: DataFrame, net: Network | None, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score below ``least``; all columns are kept, nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if net is not None:
+                batch = batch.filter(pa.array(net.score([t or "" for t in batch.column(at).to_pylist()]) >= least))
+            yield batch
+
+    return map_arrow(docs, run, docs.schema, rows=256, size=1 << 20)

@@ -17,7 +17,8 @@ def brute(text):
 
 @pytest.mark.parametrize("text", ["", " \n\t", "One", "one Two", "a b c", "É ÀB c d\x0be f\x1cg a b c " * 30, "x " * 70000])
 def test_fingerprint(text):
-    assert simhash.simhash(text) == brute(text)
+    assert simhash.simhash(text) == [brute(text)]
+    assert len(simhash.simhash(text, 5, extra=1)) == 3
 
 
 def closure(words, ids, radius):
@@ -37,7 +38,7 @@ def test_tiles_find_every_link(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 2**63, 60)]
     words = base + [base[i % 20] ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for i in range(120)] + [0, 2**64 - 1]
-    frame = spark.createDataFrame([(int(np.array([w], np.uint64).view(np.int64)[0]),) for w in words], "fp long").distinct()
+    frame = spark.createDataFrame([(int(np.array([w], np.uint64).view(np.int64)[0]),) for w in words], "fp long").distinct().selectExpr("fp", "binary('') AS more", "fp AS node")
     links = simhash.tiled_links(frame, 3)
     roots = {r.node: r.root for r in components(links).collect()}
     words = sorted({int(np.array([w], np.uint64).view(np.int64)[0]) for w in words})
@@ -49,15 +50,33 @@ def test_near_duplicates(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, text, 1), (3, text.upper(), 1), (9, text + " w400", 1), (4, None, 1), (8, "", 1), (2, "alone in the world", 1), (2, "alone in the world", 1), (7, "x " * 30000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
-    got = sorted(tuple(r) for r in simhash.near_duplicates(docs).collect())
+    got = sorted(tuple(r) for r in simhash.near_duplicates(docs, shingle=3, radius=3, extra=0).collect())
     ids = [r[0] for r in rows]
     prints = {i: brute(t or "") for i, t, _ in rows}
     want = closure([prints[i] for i in ids], ids, 3)
     assert got == sorted((i, f"{prints[i]:016x}", want[i]) for i in ids) and want[9] == 3 and want[8] == 4
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.first_of_groups(docs.limit(0)).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (129, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 300: 100}
+
+
+def test_first_of_groups_keeps_one_of_each(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(300)]
+        for c in range(6):
+            words = base.copy()
+            for at in rng.choice(300, 2 * (c > 0), replace=False):  # ten of 300 shingles
+                words[at] = f"x{c}"
+            rows.append((100 * g + c, " ".join(words), "s", f"{g}"))
+    rows += [(5000 + i, " ".join(f"o{i}v{k}" for k in range(60)), "s", "o") for i in range(60)] + [(5000, rows[0][1], "s", "copy"), (None, "x", "s", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string, node string")
+    got = simhash.first_of_groups(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id for r in got.collect() if r.doc_id is not None))
+    assert kept[:12] == [100 * g for g in range(12)] and len(kept) >= 12 + 59
