@@ -188,8 +188,8 @@ def kept_rate_variants(spark, sf_dir):
     return out
 
 
-@query(with_views("""share AS (SELECT avg((score < 0.5)::INT) AS q FROM detections JOIN images USING (image_id) WHERE split = 'src_cal') o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, (count(*) OVER () - 1) * q AS at FROM detections JOIN images USING (image_id), share WHERE split = 'tgt_cal')
-    SELECT 'tgt_cal' AS split, round(max(CASE WHEN i = floor(at) THEN score END) * (1 - any_value(at - floor(at))) + max(CASE WHEN i = ceil(at) THEN score END) * any_value(at - floor(at)), 6) AS t FROM o""", *VIEWS))
+@query(with_views("""share AS (SELECT avg((score < 0.5)::INT) AS q FROM detections JOIN images USING (image_id) WHERE split = 'src_cal'), o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, (count(*) OVER () - 1) * q AS spot FROM detections JOIN images USING (image_id), share WHERE split = 'tgt_cal')
+    SELECT 'tgt_cal' AS split, round(max(CASE WHEN i = floor(spot) THEN score END) * (1 - any_value(spot - floor(spot))) + max(CASE WHEN i = ceil(spot) THEN score END) * any_value(spot - floor(spot)), 6) AS t FROM o""", *VIEWS))
 def quantile_match(spark, sf_dir):
     rows = S.detections(spark, sf_dir).join(S.images(spark, sf_dir), "image_id")
     return T.quantile_match(rows.where("split = 'src_cal'"), rows.where("split = 'tgt_cal'"), 0.5).select(F.lit("tgt_cal").alias("split"), r6("t"))
@@ -202,10 +202,10 @@ def wasserstein(spark, sf_dir):
     return T.wasserstein(rows.where("split = 'src_cal'"), rows.where("split = 'tgt_cal'")).select(r6("w1"))
 
 
-@query(with_views(f"""{matched_sql(0.5)} SELECT split, is_tp::BIGINT AS is_tp, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95 FROM matched JOIN images USING (image_id) GROUP BY split, is_tp""", *VIEWS, recursive=True))
+@query(with_views(f"""{matched_sql(0.5)} SELECT split, is_tp::BIGINT AS is_tp, round(quantile_cont(score, 0.05), 4) AS p05, round(quantile_cont(score, 0.5), 4) AS p50, round(quantile_cont(score, 0.95), 4) AS p95 FROM matched JOIN images USING (image_id) GROUP BY split, is_tp""", *VIEWS, recursive=True))
 def score_quantiles(spark, sf_dir):
     m = base(spark, sf_dir)[3]
-    return m.groupBy("split", n("is_tp")).agg(*[r6(F.percentile("score", p), name) for p, name in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))])
+    return m.groupBy("split", n("is_tp")).agg(*[F.round(F.percentile("score", p), 4).alias(name) for p, name in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))])
 
 
 WEIGHT = " + ".join(f"(u >= {p}::DOUBLE)::INT" for p in I.POISSON)

@@ -114,7 +114,7 @@ def best_within(spark, sf_dir):
 
 
 @query(with_views("""p AS (SELECT fold, alpha, score FROM frames JOIN range(4) a(fold) ON camera % 4 <> fold, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) x(alpha) WHERE visible), r AS (SELECT *, row_number() OVER (PARTITION BY fold, alpha ORDER BY score) AS i, count(*) OVER (PARTITION BY fold, alpha) AS n FROM p),
-    t AS (SELECT fold, alpha, score AS t FROM r WHERE i = greatest(floor((n + 1) * alpha + 1e-12), 1)) SELECT fold::BIGINT AS fold, alpha, round(t, 6) AS t, round(avg((score >= t)::INT) FILTER (WHERE visible), 6) AS sensitivity, round(avg((score >= t)::INT) FILTER (WHERE NOT visible), 6) AS far FROM t JOIN frames ON camera % 4 = fold GROUP BY ALL""", *V))
+    t AS (SELECT fold, alpha, score AS tau FROM r WHERE i = greatest(floor((n + 1) * alpha + 1e-12), 1)) SELECT fold::BIGINT AS fold, alpha, round(tau, 6) AS t, round(avg((score >= tau)::INT) FILTER (WHERE visible), 6) AS sensitivity, round(avg((score >= tau)::INT) FILTER (WHERE NOT visible), 6) AS far FROM t JOIN frames ON camera % 4 = fold GROUP BY ALL""", *V))
 def conformal_alarm(spark, sf_dir):
     """Split-conformal alarm thresholds on camera-disjoint folds, and their rates on the fold held out."""
     rows = S.frames(spark, sf_dir).withColumn("fold", F.col("camera") % 4)
