@@ -165,10 +165,16 @@ def held_out(id_column) -> F.Column:
     return F.coalesce(F.crc32(F.encode(id_column.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, **options) -> Network | None:
-    """Train on the labelled rows that are not held out."""
-    known = labels.where(~held_out(labels["doc_id"])).select("doc_id", "quality").distinct()
-    return fit(docs.where(~held_out(docs["doc_id"])).select("doc_id", "text").join(known, "doc_id"), **options)
+def fit_on_labels(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, **options) -> Network | None:
+    """Train on the labelled rows that are not held out.
+
+    The sample is drawn from the labels alone and is broadcast, at most ``max_rows`` ids; documents
+    are scanned for them and not shuffled.
+    """
+    known = labels.where(~held_out(labels["doc_id"]) & F.col("quality").isNotNull()).select(F.col("doc_id").alias("of_"), "quality").distinct()
+    drawn = known.orderBy(F.xxhash64("of_"), "of_", "quality").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("of_"))
+    return fit(rows, max_rows=max_rows, **options)
 
 
 def score(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
