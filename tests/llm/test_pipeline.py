@@ -68,3 +68,11 @@ def test_pipeline_equals_plain_version(spark, corpus):
     last = frames["packing"]
     assert set(last.doc_id) == clean and (last.groupby("doc_id")["length"].sum() == last.groupby("doc_id").doc_tokens.first()).all()
     assert last.groupby("sequence_id")["length"].sum().iloc[:-1].eq(4096).all() and np.isfinite(last["offset"]).all()
+
+
+def test_line_dedup_keeps_what_matched_nothing(spark):
+    unique = "only this line stands nowhere else in the corpus"
+    docs = [(1, "\n".join([unique] * 6)), (2, "a long line of boilerplate that comes again and again " * 9), (3, docs_text := "a long line of boilerplate that comes again and again " * 9 + "\nshort rest"), (4, docs_text)]
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").coalesce(1)
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.without_repeated_lines(spark, frame, "").collect()}
+    assert got == {1: (unique, len(unique)), 2: (docs[1][1], len(docs[1][1])), 3: ("short rest", 10)}
