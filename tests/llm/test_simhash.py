@@ -80,3 +80,28 @@ def test_first_of_groups_keeps_one_of_each(spark):
     assert got.columns == docs.columns
     kept = sorted((r.doc_id for r in got.collect() if r.doc_id is not None))
     assert kept[:12] == [100 * g for g in range(12)] and len(kept) >= 12 + 59
+
+
+def test_groups_form_from_verified_links_only(spark):
+    rng, rows = np.random.default_rng(9), []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for c in range(5):
+            words = base.copy()
+            for at in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+                words[at] = f"x{c}y{at}"
+            rows.append((10 * g + c, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "ONE  two"), (904, "one two " * 50), (905, "two one " * 50)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    near = [jaccard(sets[i], sets[j]) for i in range(200) for j in range(i) if i // 5 == j // 5]
+    assert sum(0.8 <= x < 0.9 for x in near) > 30 and sum(0.6 <= x < 0.8 for x in near) > 60
+    up = {i: i for i, _ in rows}
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = find(rows[a][0]), find(rows[b][0])
+                up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.verified_groups(docs).collect()} == {i: find(i) for i, _ in rows}
