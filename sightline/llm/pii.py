@@ -5,8 +5,8 @@ numpy from labelled spans of generated lines, adds spans that the patterns miss:
 without a plus, grouped or ungrouped account numbers, IPv6 addresses, keys and tokens.
 
 Each text is covered by windows of ``WINDOW`` characters, every one overlapping its neighbours by
-half. As a span must hold a digit or an at sign, the windows that hold one are decoded, by Viterbi,
-many at once. Then they are reconciled over the whole text: every character takes the tag of the
+half. The windows that hold a digit, an at sign, or a part of a word of ``_LEAST`` characters for a
+secret are decoded, by Viterbi, many at once; spans of other kinds hold a digit or an at sign. Then they are reconciled over the whole text: every character takes the tag of the
 window in whose middle it lies (at the edge of a run of decoded windows, of the one that covers
 it), and runs of tags become spans, also across window borders.
 
@@ -40,7 +40,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile("[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[^\s0-9@]{20,}+")
 
 Span = tuple[str, int, int]
 
@@ -276,13 +276,13 @@ def train(seed: int = 11, steps: int = STEPS) -> Tagger:
 
 
 def network_spans(net: Tagger, texts: list[str], at_once: int = 512) -> list[list[Span]]:
-    """Spans of each text from all its windows that hold a digit or an at sign, reconciled over the text."""
+    """Spans of each text from all its windows that the trigger meets, reconciled over the text."""
     half, jobs = WINDOW // 2, []
     for d, text in enumerate(texts):
         windows: dict[int, None] = {}
         for m in _TRIGGER.finditer(text):
-            k = m.start() // half
-            windows.update({k: None, max(0, k - 1): None})
+            for k in range(m.start() // half, (m.end() - 1) // half + 1):
+                windows.update({k: None, max(0, k - 1): None})
         jobs += [(d, k) for k in sorted(windows)]
     tags: dict[int, dict[int, np.ndarray]] = {}
     for at in range(0, len(jobs), at_once):
@@ -319,7 +319,7 @@ def network_spans(net: Tagger, texts: list[str], at_once: int = 512) -> list[lis
 
 
 #: Characters and digits that an added span has at least.
-_LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 13), "phone": (8, 7), "secret": (20, 2)}
+_LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 13), "phone": (8, 7), "secret": (20, 0)}
 
 
 def all_spans(base: list[Span], added: list[Span], text: str) -> list[Span]:

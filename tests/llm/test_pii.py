@@ -89,3 +89,20 @@ def test_query_rows_and_edges(spark, net):
     at = long.index(secret)
     assert f"secret:{at}:{at + 40}" in got[2][6] and got[0][6] == got[1][6] == got[5][6] == ""
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string"), net).count() == 0
+
+
+def test_secrets_without_digits_are_not_thrown_away():
+    key = "sk_" + "QwErTyUiOpAsDfGhJkLzXcVbNm"
+    text = "plain words of prose " * 20 + f'key="{key}" and more words ' + "of prose " * 20
+    at = text.index(key)
+    assert pii.all_spans([], [("secret", at, at + len(key))], text) == [("secret", at, at + len(key))]
+
+    class Decoder:
+        asked = 0
+
+        def decode(self, x):
+            self.asked += len(x)
+            return np.zeros_like(x)
+
+    net = Decoder()
+    assert pii.network_spans(net, [text]) == [[]] and net.asked >= 2
