@@ -13,9 +13,6 @@ from sightline.llm import decontam, linededup, packing, quality, simhash
 from sightline.llm.common import read, stored
 from sightline.llm.queries import vocabulary
 
-#: Share of its characters that line dedup must leave of a document: any word left is enough.
-LEAST_KEPT = 0.0
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -25,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later matches of their lines; a document goes when no word of it is left."""
-    return linededup.dedup_lines(docs, least=LEAST_KEPT).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

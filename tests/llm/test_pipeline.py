@@ -51,7 +51,7 @@ def test_pipeline_equals_plain_version(spark, corpus):
     assert sorted(frames["quality classifier"].doc_id) == sorted(i for i, _ in good)
     assert not {i for i, _ in good} & {i for i in range(160) if i % 7 == 3}
     # 2: all pairs of lines
-    kept = keep_lines(good, P.LEAST_KEPT)
+    kept = keep_lines(good)
     assert {r.doc_id: r.text for r in frames["line dedup"].itertuples()} == kept
     assert not set(kept) & {200, 201, 202, 203, 204}
     # 3: all pairs of fingerprints

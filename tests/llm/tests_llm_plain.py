@@ -3,7 +3,7 @@
 import re
 
 
-def keep_lines(rows, least):
+def keep_lines(rows):
     """Texts after later matches are gone; rows in table order."""
     order = sorted(range(len(rows)), key=lambda r: (rows[r][0], r))
     seen, out = [], {}
@@ -20,7 +20,7 @@ def keep_lines(rows, least):
             if s:
                 seen.append(s)
         text = "\n".join(kept)
-        if len(kept) == len(t.split("\n")) or text.strip() and len(text) >= len(t) * least:
+        if len(kept) == len(t.split("\n")) or text.strip():
             out[i] = text
     return out
 
