@@ -28,9 +28,10 @@ BATCH_SYMBOLS = 2_000_000
 _NO_RANK = np.int32(2**31 - 1)
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SURROGATE = re.compile("[\ud800-\udfff]")
-#: Below U+0250 no text changes under NFC, and letters and numbers are the same in all Unicode versions.
-_ODD = re.compile("[\u0250-\U0010ffff]")
-_LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
+#: Below U+0180 no text changes under NFC, letters and numbers are the same in all Unicode versions, and
+#: lower case stays below, but for the capital I with a dot (U+0130).
+_ODD = re.compile("[\u0130\u0180-\U0010ffff]")
+_LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PLAIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_NUMBER}]|[^\t-\r \x85\xa0{_NUMBER}{_LATIN}]+")
 
