@@ -12,9 +12,13 @@ Passes: (1) tokenise, write ids and each document's place in its (task, source)
 folder; (2) add up the runs, a few numbers per task and source; (3) cut each document at the
 window borders where it stands.
 
+The ``OWN_QUEUES`` sources of most tokens, and all that have a share, are queues of their own. Further
+sources stand one after the other in queues by a hash of their name; such a queue has the sum of
+their weights, so every window still holds them in their proportion together.
+
 Defined results: a null text is empty and has its end token only; a null source is the queue "";
-equal rows are packed as often as they occur; an empty table gives no rows. Other columns are
-ignored.
+equal rows are packed as often as they occur; a very long text goes through many windows; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import map_arrow, stored, text_of
 from sightline.llm.rankmerge import merger
 
-#: Queues at most; more sources than that share queues by a hash of their name.
-MAX_QUEUES = 1024
+#: Sources that have a queue of their own at least, those of most tokens first; so many more queues serve the rest.
+OWN_QUEUES = 1024
 #: Rows (task, queue) of run offsets that may be broadcast, about 60 bytes each.
 BROADCAST_ROWS = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -121,37 +125,48 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, source string, unit long, unit_start long, n long, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int = 2, shares: Mapping[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES) -> DataFrame:
+def queues_of(sums: DataFrame, shares: Mapping[str, int] | None, own: int) -> DataFrame:
+    """(source, queue, weight, total) of rows (source, total)."""
+    named = {r["source"] for r in sums.orderBy(F.desc("total"), "source").limit(own).collect()} | set(shares or ())
+    rows = [(s, i, None if shares is None else int(shares.get(s, 1))) for i, s in enumerate(sorted(named))]
+    known = F.broadcast(sums.sparkSession.createDataFrame(rows, "source string, own int, share long"))  # as many as ``own`` and the shares at most
+    shared = F.lit(len(rows)) + F.pmod(F.xxhash64("source"), F.lit(own)).cast("int")
+    weight = F.greatest("total", F.lit(1)) if shares is None else F.coalesce("share", F.lit(1))
+    return sums.join(known, "source", "left").select("source", F.coalesce("own", shared).alias("queue"), weight.cast("long").alias("weight"), "total")
+
+
+def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int = 2, shares: Mapping[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", own_queues: int = OWN_QUEUES) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source).
 
-    ``shares``: whole-number target weight of a source; by default each source's own tokens, so that
-    every window has the mixture of the corpus. A source without one gets 1.
+    ``shares``: target weight of a source, a whole number from 1; by default each source's own tokens, so
+    that every window has the mixture of the corpus. A source without one gets 1.
     """
+    if any(int(x) < 1 or int(x) != x for x in (shares or {}).values()):
+        raise ValueError("shares are whole numbers from 1")
     spark = docs.sparkSession
     source = F.coalesce(docs[source_col].cast("string"), F.lit("")) if source_col in docs.columns else F.lit("")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), source.alias("source"), docs[text_col].cast("string").alias("text"))
-    if rows.select("source").distinct().limit(max_queues + 1).count() > max_queues:
-        rows = rows.withColumn("source", F.concat(F.lit("hash-"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")))
     tokens = stored(tokenized(rows, vocabulary, end_id), "pack-tokens")
-    runs = tokens.groupBy("source", "unit").agg(F.sum("n").alias("run"))
-    totals = {r["source"]: r["total"] for r in runs.groupBy("source").agg(F.sum("run").alias("total")).collect()}
+    runs = stored(tokens.groupBy("source", "unit").agg(F.sum("n").alias("run")), "pack-runs")
+    queued = stored(queues_of(runs.groupBy("source").agg(F.sum("run").alias("total")), shares, own_queues), "pack-queues")
+    totals = {r["queue"]: r for r in queued.groupBy("queue").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).collect()}
     if not totals:
         return spark.createDataFrame([], PIECES)
-    names = sorted(totals)
-    rounds = Rounds([totals[s] for s in names], [(totals[s] if shares is None else max(1, int(shares.get(s, 1)))) for s in names], window)
-    queue, width = {s: i for i, s in enumerate(names)}, merger(vocabulary).id_type
-    before = Window.partitionBy("source").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    bases = runs.select("source", "unit", F.coalesce(F.sum("run").over(before), F.lit(0)).alias("base"))
-    if bases.count() <= BROADCAST_ROWS:
+    order = sorted(totals)
+    rounds = Rounds([totals[q]["total"] for q in order], [totals[q]["weight"] for q in order], window)
+    at, width = {q: i for i, q in enumerate(order)}, merger(vocabulary).id_type
+    before = Window.partitionBy("queue").orderBy("source", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    bases = runs.join(queued.select("source", "queue"), "source").select("source", "unit", "queue", F.coalesce(F.sum("run").over(before), F.lit(0)).alias("base"))
+    if runs.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
-    placed = tokens.join(bases, ["source", "unit"]).select("doc_id", "source", (F.col("base") + F.col("unit_start")).alias("begin"), "n", "ids")
+    placed = tokens.join(bases, ["source", "unit"]).select("doc_id", "source", "queue", (F.col("base") + F.col("unit_start")).alias("begin"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc_id, source, begin, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, source, queue, begin, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = memoryview(np.frombuffer(ids, width).astype("<u4").tobytes())
-                for start, length, w, offset in rounds.pieces(queue[source], begin, n):
+                for start, length, w, offset in rounds.pieces(at[queue], begin, n):
                     for column, x in zip(out, (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, w, offset, source), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 7 + [pa.string()], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])

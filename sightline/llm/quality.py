@@ -9,8 +9,8 @@ chunk; the mean and the maximum over the chunks go through a small hidden layer
 probability.
 
 Trained here by Adam on a bounded sample of labelled rows (``MAX_ROWS`` documents in an order
-given by a hash of their ids, ``MAX_CHUNKS`` chunks of each); rows held out are never read for
-that. Labels, language, source and id are no input.
+given by a hash of their ids), with all chunks of each, as in scoring; rows held out are never read
+for that. Labels, language, source and id are no input.
 
 Defined results: a null or empty text is one chunk of padding and gets a score as well; equal
 texts get equal scores; where no row is labelled every score is 0.5; other columns are ignored.
@@ -30,8 +30,8 @@ from sightline.llm.common import map_arrow
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS, HIDDEN = 512, 64, 6, 2, 12, 8
 LAGS, BOX = 32, 64
-#: Bounds of the training sample.
-MAX_ROWS, MAX_CHUNKS = 1200, 6
+#: Bound of the training sample, in documents.
+MAX_ROWS = 1200
 EPOCHS, BATCH, RATE = 8, 32, 0.02
 
 
@@ -107,20 +107,20 @@ class Network:
         return self.head(np.concatenate(values), np.array(starts))[2].astype(np.float64)
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Network:
-    """Fit on documents given as lists of byte chunks, with classes of equal total weight."""
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
+    """Fit on the bytes of documents, with classes of equal total weight."""
     net = Network.fresh(seed)
     names = list(net.__dataclass_fields__)
     moments = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names}
     rng, step = np.random.default_rng(seed), 0
     weight = np.where(labels == 1, 0.5 / max(1e-9, labels.mean()), 0.5 / max(1e-9, 1 - labels.mean())).clip(0, 4)
-    data = [np.concatenate([chunks_of(c)[:1] for c in chunks]) for chunks in texts]
-    echoes = [echo_of(d) for d in data]
+    data = [chunks_of(raw) for raw in texts]
     for epoch in range(EPOCHS):
         order = rng.permutation(len(data))
         for at in range(0, len(order), BATCH):
             take = order[at : at + BATCH]
-            chunks, echo = np.concatenate([data[i] for i in take]), np.concatenate([echoes[i] for i in take])
+            chunks = np.concatenate([data[i] for i in take])
+            echo = echo_of(chunks)
             sizes = np.array([len(data[i]) for i in take])
             starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(take)), sizes)
             values, where = net.pooled(chunks, echo, True)
@@ -146,18 +146,14 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Networ
     return net
 
 
-def fit(labelled: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chunks: int = MAX_CHUNKS) -> Network | None:
-    """Train on a bounded sample; None where nothing is labelled.
-
-    Long documents give ``max_chunks`` chunks spread evenly over the whole of them.
-    """
+def fit(labelled: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Network | None:
+    """Train on the whole texts of a bounded sample; None where nothing is labelled."""
     text = F.coalesce(labelled[text_col].cast("string"), F.lit(""))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(max_chunks - 1)), lambda i: F.substring(text, F.floor(F.greatest(F.length(text) - CHUNK, F.lit(0)) * i / max(1, max_chunks - 1)).cast("int") + 1, F.lit(CHUNK)))
-    sample = labelled.where(labelled[label_col].isNotNull()).select(labelled[id_col].alias("id"), labelled[label_col].cast("int").alias("label"), F.array_distinct(spread).alias("parts")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = sorted((r for r in sample.collect()), key=lambda r: (r["id"] is None, r["id"] or 0, r["parts"]))
+    sample = labelled.where(labelled[label_col].isNotNull()).select(labelled[id_col].alias("id"), labelled[label_col].cast("int").alias("label"), text.alias("text")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    rows = sorted((r for r in sample.collect()), key=lambda r: (r["id"] is None, r["id"] or 0, r["text"]))
     if not rows:
         return None
-    return train([[p.encode("utf-8", "replace")[:CHUNK] for p in r["parts"]] for r in rows], np.array([r["label"] for r in rows], np.float32))
+    return train([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
 def held_out(id_column) -> F.Column:

@@ -65,3 +65,18 @@ def test_pack_shares_and_empty(spark):
     got = packing.pack(docs, vocabulary(), window=64, shares={"s0": 3, "s1": 1}).toPandas()
     first = got[got.sequence_id < 5].groupby(["sequence_id", "source"])["length"].sum().unstack()
     assert (first["s0"].between(47, 49)).all()
+
+
+def test_more_sources_than_queues_keep_the_large_ones_apart(spark):
+    sizes = {"big": 600, "wide": 300, **{f"t{i}": 10 + i for i in range(9)}}
+    rows = [(n * 1000 + i, "a b c d e f g", s) for n, (s, k) in enumerate(sizes.items()) for i in range(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(docs, vocabulary(), window=128, own_queues=2).toPandas()
+    one = packing.pack(docs, vocabulary(), window=128).toPandas()
+    assert set(got.source) == set(sizes) and got.groupby("doc_id")["length"].sum().to_dict() == one.groupby("doc_id")["length"].sum().to_dict()
+    whole = got[got.sequence_id < got.sequence_id.max()].groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
+    for s in ("big", "wide"):
+        want = 128 * sizes[s] / sum(sizes.values())
+        assert (whole[s] - want).abs().max() <= 2
+    with pytest.raises(ValueError):
+        packing.pack(docs, vocabulary(), shares={"big": 0})

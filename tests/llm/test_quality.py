@@ -38,6 +38,19 @@ def test_responses_equal_a_plain_loop():
     assert np.allclose(net.pooled(chunk, echo)[0][0], np.tanh(np.array(want) + net.bias), atol=1e-5)
 
 
+def test_document_score_equals_a_plain_loop():
+    net, text = Q.Network.fresh(3), "The quick brown fox jumps over the lazy dog, again and again and again! " * 31
+    raw, step, values = text.encode(), Q.CHUNK - Q.OVERLAP, []
+    for at in range(0, len(raw) - Q.OVERLAP, step):
+        chunk = raw[at : at + Q.CHUNK].ljust(Q.CHUNK, b"\0")
+        echo = [int(any(i >= lag and chunk[i : i + 4] == chunk[i - lag : i - lag + 4] for lag in range(1, Q.LAGS + 1)) and chunk[i : i + 4] != bytes(4)) for i in range(Q.CHUNK - 3)]
+        places = range(0, Q.CHUNK - Q.WIDTH + 1, Q.STRIDE)
+        values.append([max(sum(net.table[k, chunk[p + k], f] for k in range(Q.WIDTH)) + sum(echo[p : p + Q.BOX]) / Q.BOX * net.echo[f] for p in places) + net.bias[f] for f in range(Q.FILTERS)])
+    pooled = np.tanh(values)
+    hidden = np.tanh(np.r_[pooled.mean(axis=0), pooled.max(axis=0)] @ net.hidden + net.hidden_bias)
+    assert len(values) > 3 and abs(net.score(["short", text])[1] - 1 / (1 + np.exp(-(hidden @ net.out + net.out_bias[0])))) < 1e-4
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = sample(900)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows] + [(5000, None, "x", 1), (5001, "", "x", 1), (5002, rows[0][1] * 90, "x", 1), (5003, rows[3][1], "y", 0), (5003, rows[3][1], "y", 0)], "doc_id long, text string, score string, label int")
