@@ -2,15 +2,19 @@
 
 Events of the standard-library parser are cut into lines, one for each block of text. A line's
 ratio is its characters by its tags. The ratios of a page are smoothed by a Gaussian over
-neighbouring lines, and lines above the threshold (the standard deviation of the smoothed ratios)
-are the seeds of content. Lines stand in regions, the elements that hold them; a region with a
-seed is content as a whole, so headings and short paragraphs of it stay. Page furniture that
-names itself, by element or by class, id or role, is no candidate. Where a page marks its article
-or main part, only such regions are.
+neighbouring lines and clustered in two: one centre stays at zero, the other moves as in k-means, and
+lines above the threshold between them are the seeds of content. Lines stand in regions, the elements that hold them; a region with a seed is content as a
+whole, so headings and short paragraphs of it stay. Where a page marks its article or main part,
+only such regions are.
+
+Furniture is suspected by element, or by a name in class, id or role, and dropped. A suspicion that
+rests on a name or on a form falls if the suspect holds an article or main part, or if
+the text outside all suspects is no more than a fifth of its own; menus, asides, footers and page
+headers stay dropped. A named inline element is furniture only if its line has no other text.
 
 Nothing else is dropped, and nothing is cut off. Defined results: null, empty and text-free pages
-give ""; text outside any tag counts as a block; repeated rows keep their rows; other columns are
-ignored.
+give ""; text outside any tag counts as a block; very long pages are taken whole; repeated rows keep
+their rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,51 +46,64 @@ NAMES = frozenset(
     "complementary contentinfo dialog skip".split()
 )
 HEAD_NAMES = frozenset("header siteheader pageheader".split())
+# First words of class names that say what a page has or is about, not what an element is.
+ABOUT = frozenset("has no with without is not tag category cat format type status page post term author".split())
+#: Elements whose suspicion can fall.
+SOFT = frozenset("form fieldset search".split())
 _WORD = re.compile(r"[a-z0-9]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+Line = tuple[str, int, int, tuple[int, ...]]  # text, tags, region, suspects around it
 
-Line = tuple[str, int, int]  # text, tags, region
+
+def unseen(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    return tag in HIDDEN or any(k in ("hidden", "inert") or k == "aria-hidden" and v == "true" or k == "style" and v and _UNSEEN.search(v.lower()) for k, v in attrs)
+
+
+def named(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    """Whether a name in class, id or role is one of furniture; ``inside``: an article or main part."""
+    for k, v in attrs:
+        if v and k in ("class", "id", "role"):
+            for name in v.lower().split():
+                words = _WORD.findall(name)
+                if not words or len(words) > 1 and (tag == "article" or words[0] in ABOUT):
+                    continue
+                if NAMES.intersection(words) or not inside and tag != "article" and HEAD_NAMES.intersection(words):
+                    return True
+    return False
 
 
 class Events(HTMLParser):
-    """Lines of a page with their tags and regions."""
+    """Lines of a page with their tags, regions and suspects."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = ["page"]  # of each region: page, box, main, article
-        self.text: list[str] = []
+        self.soft: list[bool] = []  # of each suspect: its suspicion can fall
+        self.marked: set[int] = set()  # suspects that hold an article or main part
+        self.text: list[tuple[str, bool]] = []  # and whether it stands in a named inline element
         self.tags = 0
-        #: (tag, is left out, region) of open elements
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]
+        #: (tag, is not seen, region, suspects) of open elements
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = [("", False, 0, ())]
         self.depth: dict[str, int] = {}
+        self.inline: list[tuple[str, int]] = []  # a named inline element and those in it, with their depth
 
     def cut(self) -> None:
         """End the line."""
         if self.text:
-            line = " ".join("".join(self.text).split())
+            line = " ".join("".join(t for t, _ in self.text).split())
             if line:
-                self.lines.append((line, self.tags, self.open[-1][2]))
+                _, _, region, suspects = self.open[-1]
+                if all(aside for t, aside in self.text if not t.isspace()):
+                    suspects = (*suspects, self.suspect(True))
+                self.lines.append((line, self.tags, region, suspects))
                 self.tags = 0
             self.text = []
 
-    def furniture(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
-        if tag in HIDDEN or tag in FURNITURE:
-            return True
-        inside = self.kinds[region] in ("article", "main")
-        if tag == "header":
-            return not inside
-        if tag in ("html", "body", "article", "main"):
-            named = tag == "article"
-        else:
-            named = True
-        for k, v in attrs:
-            if k in ("hidden", "inert") or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v.lower()):
-                return True
-            if named and v and k in ("class", "id", "role"):
-                words = set(_WORD.findall(v.lower()))
-                if words & NAMES or not inside and words & HEAD_NAMES:
-                    return True
-        return False
+    def suspect(self, soft: bool) -> int:
+        self.soft.append(soft)
+        return len(self.soft) - 1
 
     def last(self, tag: str) -> int:
         return next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag)
@@ -94,18 +111,23 @@ class Events(HTMLParser):
     def pop_to(self, at: int) -> None:
         while len(self.open) > at:
             self.depth[self.open.pop()[0]] -= 1
+        while self.inline and self.inline[-1][1] > at:
+            self.inline.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", True))
             return
+        _, hidden, region, suspects = self.open[-1]
+        inside = self.kinds[region] in ("article", "main")
         if tag in INLINE:
-            if tag not in VOID and any(k in ("class", "id", "role", "hidden", "style", "aria-hidden") for k, _ in attrs):
-                _, left_out, region = self.open[-1]
-                if not left_out and self.furniture(tag, attrs, region):
+            if tag not in VOID and not hidden:
+                if unseen(tag, attrs):
                     self.cut()
-                    self.push(tag, True, region)
+                    self.push(tag, True, region, suspects)
+                elif self.inline or named(tag, attrs, inside):
+                    self.inline.append((tag, len(self.open)))
             return
         self.cut()
         if tag in VOID:
@@ -117,18 +139,26 @@ class Events(HTMLParser):
                 at = self.last(other)
                 if not any(o[0] in ("ul", "ol", "dl", "table", "select") for o in self.open[at + 1 :]):
                     self.pop_to(at)
-        _, left_out, region = self.open[-1]
-        left_out = left_out or self.furniture(tag, attrs, region)
+        _, hidden, region, suspects = self.open[-1]
+        inside = self.kinds[region] in ("article", "main")
+        hidden = hidden or unseen(tag, attrs)
         role = next((v for k, v in attrs if k == "role"), None)
         kind = "article" if tag == "article" or role == "article" else "main" if tag == "main" or role == "main" else "box" if tag not in LEAVES else None
-        if not left_out and kind and (kind == "article" and self.kinds[region] != "article" or kind != "article" and self.kinds[region] in ("page", "box")):
-            if tag not in ("html", "body") or kind != "box":
-                self.kinds.append(kind)
-                region = len(self.kinds) - 1
-        self.push(tag, left_out, region)
-
-    def push(self, tag: str, left_out: bool, region: int) -> None:
-        self.open.append((tag, left_out, region))
+        if not hidden:
+            if tag in FURNITURE or tag == "header" and not inside:
+                suspects = (*suspects, self.suspect(tag in SOFT))
+            elif tag not in ("html", "body", "main") and named(tag, attrs, inside):
+                suspects = (*suspects, self.suspect(True))
+            elif kind in ("article", "main"):
+                self.marked.update(suspects)
+            if kind and (kind == "article" and self.kinds[region] != "article" or kind != "article" and self.kinds[region] in ("page", "box")):
+                if tag not in ("html", "body") or kind != "box":
+                    self.kinds.append(kind)
+                    region = len(self.kinds) - 1
+        self.push(tag, hidden, region, suspects)
+
+    def push(self, tag: str, hidden: bool, region: int, suspects: tuple[int, ...]) -> None:
+        self.open.append((tag, hidden, region, suspects))
         self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def end_of(self, tag: str) -> None:
@@ -141,6 +171,8 @@ class Events(HTMLParser):
         if tag in INLINE:
             if self.open[-1][0] == tag:
                 self.end_of(tag)
+            elif self.inline and self.inline[-1][0] == tag:
+                self.inline.pop()
             return
         self.cut()
         self.end_of(tag)
@@ -150,16 +182,22 @@ class Events(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][1]:
-            self.text.append(data)
+            self.text.append((data, bool(self.inline)))
 
 
 def lines_of(html: str) -> tuple[list[Line], list[str]]:
-    """(text, tags, region) of each line that is no furniture, and the kinds of regions."""
+    """The lines that are no furniture, and the kinds of regions."""
     events = Events()
     events.feed(html)
     events.close()
     events.cut()
-    return events.lines, events.kinds
+    held, free = [0] * len(events.soft), 0
+    for text, _, _, suspects in events.lines:
+        free += 0 if suspects else len(text)
+        for x in suspects:
+            held[x] += len(text)
+    falls = [soft and (x in events.marked or 5 * free <= held[x]) for x, soft in enumerate(events.soft)]
+    return [line for line in events.lines if all(falls[x] for x in line[3])], events.kinds
 
 
 def gaussian(radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -175,15 +213,25 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(ratios, pad), w, "valid") / mass
 
 
+def seeds(ratios: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Lines nearer to the centre of the content, which moves as in k-means, than to the one that stays at zero."""
+    threshold = ratios.mean() / 2
+    for _ in range(rounds):
+        moved = ratios[ratios >= threshold].mean() / 2
+        if moved == threshold:
+            break
+        threshold = moved
+    return ratios >= threshold
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the content regions in page order, joined by one space."""
     lines, kinds = lines_of(html or "")
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, tags) for t, tags, _ in lines]))
-    seeds = ratios >= ratios.std()
-    seeded = {r for (_, _, r), s in zip(lines, seeds, strict=True) if s}
-    held = {r for _, _, r in lines}
+    found = seeds(smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines])))
+    seeded = {line[2] for line, s in zip(lines, found, strict=True) if s}
+    held = {line[2] for line in lines}
     for kind in ("article", "main"):
         marked = {r for r in held if kinds[r] == kind}
         if marked:
@@ -191,7 +239,7 @@ def main_text(html: str | None) -> str:
             break
     else:
         chosen = seeded or held
-    return " ".join(t for t, _, r in lines if r in chosen)
+    return " ".join(t for t, _, r, _ in lines if r in chosen)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

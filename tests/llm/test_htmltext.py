@@ -14,6 +14,12 @@ PAGES = [
     ("<html><body><nav>only a menu</nav></body></html>", ""),
     ("just &lt;text&gt;", "just <text>"),
     ("<p>unclosed <b>bold", "unclosed bold"),
+    (f"<nav>m</nav><div id='main' class='has-sidebar'>{ART}</div>", WANT),
+    (f"<nav>m</nav><article class='post tag-search'>{ART}</article>", WANT),
+    (f"<body><form action=/><div>{ART}</div><input name=state></form></body>", WANT),
+    ("<p>The firm has a large <span class='share'>market share</span> in this country, as all know.</p>", "The firm has a large market share in this country, as all know."),
+    (f"<article>{ART}<p><span class='share'>Share <b>this</b></span></p></article><section class=comments>" + "<article class=comment><p>a long reader comment that says much more than the text itself does</p></article>" * 9 + "</section>", WANT),
+    (f"<div class='page-banner'><main>{ART}</main></div>", WANT),
     ("<p hidden>no</p><p>yes there is a line</p></div></div>", "yes there is a line"),
 ]
 
