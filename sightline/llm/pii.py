@@ -4,11 +4,12 @@ The base kinds are found by linear-time patterns over the whole text. The networ
 numpy from labelled spans of generated lines, adds spans that the patterns miss: telephone numbers
 without a plus, grouped or ungrouped account numbers, IPv6 addresses, keys and tokens.
 
-Each text is covered by windows of ``WINDOW`` characters, every one overlapping its neighbours by
-half. The windows that hold a digit, an at sign, or a part of a word of ``_LEAST`` characters for a
-secret are decoded, by Viterbi, many at once; spans of other kinds hold a digit or an at sign. Then they are reconciled over the whole text: every character takes the tag of the
-window in whose middle it lies (at the edge of a run of decoded windows, of the one that covers
-it), and runs of tags become spans, also across window borders.
+Every text is covered by windows of ``WINDOW`` characters, each overlapping the next by ``OVERLAP``; all of
+them are decoded. The gates of the network are clipped lines instead of sigmoids, so whole texts are
+affordable in numpy. Where windows overlap their emissions are averaged, and one Viterbi pass over the
+whole text, across all window borders, gives its tags. Characters at which no best path can leave
+the outside tag are found from bounds and left out of that pass; the result is the same. Memory is
+about 100 bytes for each character of a slice of texts, or of one longer text.
 
 Defined results: a null text is empty and has no spans; equal texts have equal spans; base spans
 always stay, and an added span that overlaps one is dropped; other columns are ignored.
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from sightline.llm.common import map_arrow, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "secret")
-WINDOW = 96
-HIDDEN = 12
-STEPS, BATCH, RATE = 220, 48, 0.03
+KINDS = (*BASE_KINDS, "secret", "ssn")
+WINDOW, OVERLAP = 256, 32
+#: Windows that go through the network, and stretches that go through the Viterbi pass, at a time.
+AT_ONCE, LANES = 2048, 512
+HIDDEN = 8
+LENGTH, STEPS, BATCH, RATE = 96, 260, 48, 0.03
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +43,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[^\s0-9@]{20,}+")
+_BASE = re.compile(r"[0-9@]")
 
 Span = tuple[str, int, int]
 
@@ -70,7 +73,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the base kinds, by kind as listed, then start."""
-    if not _TRIGGER.search(text):
+    if not _BASE.search(text):
         return []
     out: list[Span] = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if "." in text:
@@ -103,10 +106,6 @@ def symbols_of(text: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 @dataclass
 class Tagger:
     """Input table and recurrent weights of both directions, output layer, and CRF transitions."""
@@ -121,8 +120,9 @@ class Tagger:
     def fresh(cls, seed: int) -> Tagger:
         rng, h, k = np.random.default_rng(seed), HIDDEN, len(_TAGS)
         draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-        table = draw(0.4, 2, _VOCABULARY, 4 * h)
-        table[:, :, h : 2 * h] += 1  # forget gates begin open
+        table = draw(0.3, 2, _VOCABULARY, 4 * h)
+        table[:, :, : 3 * h] += 0.5
+        table[:, :, h : 2 * h] += 0.3  # forget gates begin open
         return cls(table, draw(0.25, 2, h, 4 * h), draw(0.3, 2 * h, k), np.zeros(k, np.float32), draw(0.1, k, k))
 
     def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -133,31 +133,80 @@ class Tagger:
         out = np.empty((2, n, length, h), np.float32)
         for t in range(length):
             z = sides[:, :, t] + hidden @ self.inner
-            gates, g = _sigmoid(z[..., : 3 * h]), np.tanh(z[..., 3 * h :])
+            gates, g = z[..., : 3 * h].clip(0, 1), z[..., 3 * h :].clip(-1, 1)
             i, f, o = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h :]
             before, cell = cell, f * cell + i * g
-            wide = np.tanh(cell)
+            wide = cell.clip(-1, 1)
             if keep is not None:
                 keep.append((hidden, before, i, f, o, g, wide))
             hidden = o * wide
             out[:, :, t] = hidden
         return np.concatenate([out[0], out[1][:, ::-1]], axis=2)
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags (windows, characters) by Viterbi; a span cannot go on that did not begin."""
-        emit = self.states(x) @ self.out + self.bias
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scores of the tags (characters, tags, windows): ``states`` with features first and without copies."""
+        (n, length), h, steps = x.shape, HIDDEN, np.ascontiguousarray(x.T)
+        rows, z, wide = np.empty((n, 4 * h), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
+        gates, g = z[: 3 * h], z[3 * h :]
+        emit = np.empty((length, len(_TAGS), n), np.float32)
+        for side, order in enumerate((range(length), range(length - 1, -1, -1))):
+            inner, out = np.ascontiguousarray(self.inner[side].T), np.ascontiguousarray(self.out[side * h : side * h + h].T)
+            hidden, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+            for t in order:
+                np.take(self.table[side], steps[t], axis=0, out=rows, mode="clip")
+                np.dot(inner, hidden, out=z)
+                z += rows.T
+                np.clip(gates, 0, 1, out=gates)
+                np.clip(g, -1, 1, out=g)
+                cell *= gates[h : 2 * h]
+                cell += np.multiply(g, gates[:h], out=g)
+                np.clip(cell, -1, 1, out=wide)
+                np.multiply(wide, gates[2 * h :], out=hidden)
+                if side:
+                    emit[t] += out @ hidden
+                else:
+                    np.dot(out, hidden, out=emit[t])
+        emit += self.bias[:, None]
+        return emit
+
+    def open_to_spans(self, gain: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Characters of texts one behind the other at which the best path may leave the outside tag; ``gain`` is the lead of the best other emission.
+
+        All other tags are taken as one, with the best emission and the best transitions that any of them has.
+        The most that a span through a character can gain over staying outside is then a sum of what it
+        gains up to there and from there on, both maxima over where it begins and ends. Where that is below 0, no
+        best path has a span, as a span can always be replaced by outside tags.
+        """
+        moves = self.moves.astype(np.float64) - float(self.moves[0, 0])
+        enter, on, leave = moves[0, 1::2].max(), moves[1:, 1:][~_ILLEGAL[1:, 1:]].max(), moves[1:, 0].max()
+        into, out_of = np.full(len(gain), enter), np.full(len(gain), leave)
+        into[begins], out_of[np.r_[begins[1:], len(gain)] - 1] = max(enter, 0), max(leave, 0)
+        total = np.r_[0, np.cumsum(gain + on)]
+        ahead = total[1:] - on - np.minimum.accumulate(total[:-1] - into)
+        back = np.r_[np.cumsum((gain + on)[::-1])[::-1], 0]
+        behind = back[:-1] - on - np.minimum.accumulate((back[1:] - out_of)[::-1])[::-1]
+        return ahead + behind - gain >= -1e-3
+
+    def best_paths(self, emit: np.ndarray, sizes: np.ndarray, opened: np.ndarray, closed: np.ndarray) -> np.ndarray:
+        """Tags (characters, lanes) by Viterbi for lanes of these sizes; a lane comes after the outside tag where ``opened``, and before it where ``closed``."""
         moves = np.where(_ILLEGAL, np.float32(-1e4), self.moves)
-        best = emit[:, 0] + np.where(_ILLEGAL[0], np.float32(-1e4), 0)
-        came = np.empty(emit.shape, np.int8)
-        for t in range(1, x.shape[1]):
-            paths = best[:, :, None] + moves
-            came[:, t] = paths.argmax(axis=1)
-            best = paths.max(axis=1) + emit[:, t]
-        tags = np.empty(x.shape, np.int8)
-        tags[:, -1] = best.argmax(axis=1)
-        rows = np.arange(len(x))
-        for t in range(x.shape[1] - 1, 0, -1):
-            tags[:, t - 1] = came[rows, t, tags[:, t]]
+        length, _, lanes = emit.shape
+        best = emit[0] + np.where(_ILLEGAL[0], np.float32(-1e4), 0)[:, None] + np.where(opened, self.moves[0][:, None], 0)
+        came, ends = np.empty(emit.shape, np.int8), np.zeros(lanes, np.int8)
+        close = lambda b: (b + np.where(closed, moves[:, 0][:, None], 0)).argmax(axis=0)
+        for t in range(length):
+            if t:
+                paths = best[:, None, :] + moves[:, :, None]
+                came[t] = paths.argmax(axis=0)
+                best = paths.max(axis=0) + emit[t]
+            if (done := sizes == t + 1).any():
+                ends[done] = close(best)[done]
+        tags, at, rows = np.zeros((length, lanes), np.int8), np.zeros(lanes, np.int8), np.arange(lanes)
+        for t in range(length - 1, -1, -1):
+            at = np.where(sizes == t + 1, ends, at)
+            tags[t] = np.where(sizes > t, at, 0)
+            if t:
+                at = np.where(sizes > t, came[t, at, rows], at)
         return tags
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -193,8 +242,9 @@ class Tagger:
         for t in range(length - 1, -1, -1):
             hidden, before, i, f, o, g, wide = kept[t]
             d = d_hidden + d_side[:, :, t]
-            d_cell = d_cell + d * o * (1 - wide**2)
-            z = np.concatenate([d_cell * g * i * (1 - i), d_cell * before * f * (1 - f), d * wide * o * (1 - o), d_cell * i * (1 - g**2)], axis=2)
+            d_cell = d_cell + d * o * (abs(wide) < 1)
+            inside = lambda gate: (gate > 0) & (gate < 1)
+            z = np.concatenate([d_cell * g * inside(i), d_cell * before * inside(f), d * wide * inside(o), d_cell * i * (abs(g) < 1)], axis=2)
             d_cell = d_cell * f
             d_inner += hidden.transpose(0, 2, 1) @ z
             d_hidden = z @ self.inner.transpose(0, 2, 1)
@@ -203,15 +253,19 @@ class Tagger:
         return float(norm.sum() - gold) / n, grads | {"table": d_table, "inner": d_inner}
 
 
+#: Letters of words in about the proportions of four languages, and all alike.
+_LETTERS = ("etaoinshrdlu" * 4 + "cmfwypvbgkjqxz", "easitnrulod" * 4 + "cmpévqfbghjàxèyêzçôùâîïœ", "enisratdhul" * 4 + "cgmobwfkzpvjyxqäöüß", "eaosrnidlct" * 4 + "umpbgvyqhfzjñxóáéíú", "abcdefghijklmnopqrstuvwxyz")
+
+
 def labelled_line(draw: random.Random, length: int) -> tuple[str, list[Span]]:
     """A generated line of about that length with labelled spans."""
-    letters = draw.choice(["etaoinshrdlu", "etaoinshrdlucmfwypvbgk", "etaoinsrdéèçüñóß"])
-    word = lambda low=1, high=11: "".join(draw.choice(letters) for _ in range(draw.randint(low, high)))
+    letters = draw.choice(_LETTERS)
+    word = lambda low=1, high=14: "".join(draw.choice(letters) for _ in range(draw.randint(low, high)))
     digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
     tail, upper = draw.choice(["", "", "", "", draw.choice(["%%%", "$$$", "###", "***", "&&&", "!!", " |"])]), draw.random() < 0.15
 
     def entity() -> tuple[str, str]:
-        kind = draw.choice(["email", "ip", "card", "phone", "phone", "secret", "secret", "none", "none"])
+        kind = draw.choice(["email", "ip", "card", "phone", "phone", "secret", "secret", "secret", "ssn", "none", "none"])
         if kind == "email":
             text = f"{word(2, 9)}.{digits(2)}@{word(3, 8)}{draw.choice(['', digits(1)])}.{draw.choice(['example.com', 'com', 'org', 'co.uk', 'de'])}"
         elif kind == "ip":
@@ -220,8 +274,12 @@ def labelled_line(draw: random.Random, length: int) -> tuple[str, list[Span]]:
             text = draw.choice([digits(16), draw.choice(" -").join(digits(4) for _ in range(4))])
         elif kind == "phone":
             text = draw.choice(["+{c} ({a}) {b}-{d}", "({a}) {b}-{d}", "+{c}{a}{b}{d}", "+{c} {a} {b} {d}", "{a}-{b}-{d}", "+{c}.{a}.{b}.{d}"]).format(c=draw.randint(1, 99), a=digits(3), b=digits(3), d=digits(4))
+        elif kind == "ssn":
+            text = f"{digits(3)}-{digits(2)}-{digits(4)}"
         elif kind == "secret":
-            text = draw.choice(["".join(draw.choice("0123456789abcdef") for _ in range(draw.choice([32, 40, 48]))), draw.choice(["sk_", "AKIA", "ghp_", "key-"]) + "".join(draw.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(draw.randint(20, 36)))])
+            mixed = lambda low, high, signs: "".join(draw.choice(signs) for _ in range(draw.randint(low, high)))
+            letters_, signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+            text = draw.choice([mixed(32, 48, "0123456789abcdef"), draw.choice(["sk_", "sk-", "AKIA", "ghp_", "key-"]) + mixed(16, 40, signs), mixed(24, 44, letters_ + "+/_-"), mixed(24, 44, signs)])
         else:
             text = draw.choice([digits(draw.randint(1, 7)), f"{digits(1)}.{digits(1)}.", f"{draw.randint(1900, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}", f"{draw.randint(0, 23)}:{draw.randint(0, 59):02}", f"version {digits(1)}.{digits(2)}", f"{digits(3)},{digits(3)}", f"{digits(2)}%", f"{word()}{digits(2)}", f"@{word()}"])
         return kind, text
@@ -231,7 +289,7 @@ def labelled_line(draw: random.Random, length: int) -> tuple[str, list[Span]]:
         if draw.random() < 0.12:
             kind, found = entity()
             around = draw.choice([("", ""), ("", ""), ("", ""), ("", "."), ("", ","), ("(", ")"), ('"', '"')])
-            lead = draw.choice(['token = "', 'key="', "token: "]) if kind == "secret" and draw.random() < 0.6 else around[0]
+            lead = draw.choice(['token = "', 'key="', "token: ", 'password="', "secret: "]) if kind == "secret" and draw.random() < 0.6 else around[0]
             text += lead
             if kind != "none":
                 spans.append((kind, len(text), len(text) + len(found)))
@@ -253,7 +311,7 @@ def tags_of(spans: list[Span], length: int) -> np.ndarray:
 
 def train(seed: int = 11, steps: int = STEPS) -> Tagger:
     """Fit on windows of generated lines with labelled spans, by Adam."""
-    draw, net, length = random.Random(seed), Tagger.fresh(seed), WINDOW
+    draw, net, length = random.Random(seed), Tagger.fresh(seed), LENGTH
     moments = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in net.__dataclass_fields__}
     for step in range(1, steps + 1):
         x, y = np.zeros((BATCH, length), np.int64), np.zeros((BATCH, length), np.int64)
@@ -275,67 +333,91 @@ def train(seed: int = 11, steps: int = STEPS) -> Tagger:
     return net
 
 
-def network_spans(net: Tagger, texts: list[str], at_once: int = 512) -> list[list[Span]]:
-    """Spans of each text from all its windows that the trigger meets, reconciled over the text."""
-    half, jobs = WINDOW // 2, []
-    for d, text in enumerate(texts):
-        windows: dict[int, None] = {}
-        for m in _TRIGGER.finditer(text):
-            for k in range(m.start() // half, (m.end() - 1) // half + 1):
-                windows.update({k: None, max(0, k - 1): None})
-        jobs += [(d, k) for k in sorted(windows)]
-    tags: dict[int, dict[int, np.ndarray]] = {}
-    for at in range(0, len(jobs), at_once):
-        part = jobs[at : at + at_once]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (d, k) in enumerate(part):
-            piece = texts[d][k * half : k * half + WINDOW]
-            x[row, : len(piece)] = symbols_of(piece)
-        for (d, k), found in zip(part, net.decode(x), strict=True):
-            tags.setdefault(d, {})[k] = found
-    quarter, out = half // 2, [[] for _ in texts]
-    for d, windows in tags.items():
-        text, spans = texts[d], out[d]
-        # the middle of window k is [k half + quarter, (k + 1) half + quarter); the first one also has its beginning
-        run: list[int] | None = None  # kind, begin, end of the span that goes on
-        for k, found in windows.items():
-            begin = 0 if k == 0 else quarter
-            end = half + quarter if k + 1 in windows else WINDOW
-            begin = begin if k == 0 or k - 1 in windows else 0
-            for t in np.flatnonzero(found[begin:end]).tolist():
-                p, tag = k * half + begin + t, int(found[begin + t])
-                if p >= len(text):
-                    break
-                kind = (tag - 1) // 2
-                if run and run[0] == kind and run[2] == p and (tag % 2 == 0 or begin + t == quarter):
-                    run[2] = p + 1
-                else:
-                    if run:
-                        spans.append((KINDS[run[0]], run[1], run[2]))
-                    run = [kind, p, p + 1]
-        if run:
-            spans.append((KINDS[run[0]], run[1], run[2]))
-    return out
+class Emissions:
+    """Emissions of texts one behind the other (none is empty), averaged where windows overlap.
+
+    A window has its characters up to where the next one of its text begins. Windows go through the network in
+    groups; a group also has the window before its first one, for the part that both cover.
+    """
+
+    def __init__(self, net: Tagger, codes: np.ndarray, begins: np.ndarray):
+        sizes, step = np.diff(np.r_[begins, len(codes)]), WINDOW - OVERLAP
+        many = np.maximum(1, -(-(sizes - OVERLAP) // step))
+        of = np.repeat(np.arange(len(begins)), many)
+        self.start = begins[of] + step * (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+        size = np.minimum(self.start + WINDOW, (begins + sizes)[of]) - self.start
+        own = np.diff(np.r_[self.start, len(codes)])
+        self.groups: list[tuple[int, np.ndarray]] = []  # first window of its own, emissions (characters, tags, windows)
+        self.gain = np.empty(len(codes), np.float64)
+        padded = np.concatenate([codes, np.zeros(WINDOW, codes.dtype)])
+        for at in range(0, len(self.start), AT_ONCE):
+            low = max(0, at - 1)
+            a, n = self.start[low : at + AT_ONCE], size[low : at + AT_ONCE]
+            spot = np.arange(int(n.max()))
+            emit = net.emissions(padded[a[:, None] + spot] * (spot < n[:, None]))
+            follows = np.flatnonzero(np.diff(of[low : at + AT_ONCE]) == 0)
+            if len(follows):
+                emit[:OVERLAP, :, follows + 1] = (emit[:OVERLAP, :, follows + 1] + emit[step:WINDOW, :, follows]) / 2
+            lead = (emit[:, 1:].max(axis=1) - emit[:, 0]).T[at - low :]
+            mine = own[at : at + AT_ONCE]
+            self.gain[self.start[at] : self.start[at] + mine.sum()] = lead[spot < mine[:, None]]
+            self.groups.append((at, emit[:, :, at - low :]))
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """Emissions (characters, tags) of these characters, in rising order."""
+        window = np.searchsorted(self.start, place, "right") - 1
+        cut = np.searchsorted(window, [at for at, _ in self.groups] + [len(self.start)])
+        parts = [emit[place[i:j] - self.start[window[i:j]], :, window[i:j] - at] for (at, emit), i, j in zip(self.groups, cut[:-1], cut[1:], strict=True)]
+        return np.concatenate(parts)
+
+
+def network_tags(net: Tagger, codes: np.ndarray, begins: np.ndarray, *, prune: bool = True) -> np.ndarray:
+    """Best tags of texts one behind the other (none is empty): one Viterbi pass over each whole text."""
+    tags, emissions = np.zeros(len(codes), np.int8), Emissions(net, codes, begins)
+    place = np.flatnonzero(net.open_to_spans(emissions.gain, begins)) if prune else np.arange(len(codes))
+    emit = emissions.at(place)
+    is_begin = np.zeros(len(codes) + 1, bool)
+    is_begin[begins] = is_begin[-1] = True
+    begin = np.flatnonzero(np.r_[True, np.diff(place) > 1] | is_begin[place]) if len(place) else place
+    size = np.diff(np.r_[begin, len(place)])
+    order, at = np.argsort(-size, kind="stable"), 0
+    while at < len(order):
+        lanes = order[at : at + max(1, min(LANES, 1_000_000 // int(size[order[at]])))]
+        n, spot = size[lanes], np.arange(int(size[lanes[0]]))[:, None]
+        inside = spot < n
+        index = np.where(inside, begin[lanes] + spot, 0)
+        opened, closed = ~is_begin[place[begin[lanes]]], ~is_begin[place[begin[lanes] + n - 1] + 1]
+        tags[place[index[inside]]] = net.best_paths(emit[index].transpose(0, 2, 1), n, opened, closed)[inside]
+        at += len(lanes)
+    return tags
 
 
-#: Characters and digits that an added span has at least.
-_LEAST = {"email": (6, 0), "ip": (7, 4), "card": (13, 13), "phone": (8, 7), "secret": (20, 0)}
+def network_spans(net: Tagger, texts: list[str], *, prune: bool = True) -> list[list[Span]]:
+    """Spans of each text."""
+    out: list[list[Span]] = [[] for _ in texts]
+    some = [d for d, t in enumerate(texts) if t]
+    if not some:
+        return out
+    sizes = np.array([len(texts[d]) for d in some])
+    begins = np.cumsum(sizes) - sizes
+    tags = network_tags(net, np.concatenate([symbols_of(texts[d]) for d in some]), begins, prune=prune)
+    marked = np.flatnonzero(tags)
+    # a span begins at a B tag; its I tags follow it without a gap
+    starts = marked[tags[marked] % 2 == 1]
+    ends = marked[np.r_[(np.diff(marked) > 1) | (tags[marked[1:]] % 2 == 1), True]] + 1 if len(marked) else marked
+    of = np.searchsorted(begins, starts, "right") - 1
+    for d, a, b in zip(of.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        out[some[d]].append((KINDS[(int(tags[a]) - 1) // 2], a - int(begins[d]), b - int(begins[d])))
+    return out
 
 
-def all_spans(base: list[Span], added: list[Span], text: str) -> list[Span]:
-    """Base spans and those added ones that overlap none and are long enough, by kind as listed, then start."""
+def all_spans(base: list[Span], added: list[Span]) -> list[Span]:
+    """Base spans and those added ones that overlap none, by kind as listed, then start."""
     taken = sorted((a, b) for _, a, b in base)
     starts = np.array([a for a, _ in taken], np.int64)
     ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.empty(0, np.int64)
-    good = []
-    for kind, a, b in added:
-        found = text[a:b]
-        i = int(np.searchsorted(starts, b))
-        free = i == 0 or ends[i - 1] <= a
-        size, digits = _LEAST[kind]
-        if free and len(found) >= size and sum(c in "0123456789" for c in found) >= digits and ("@" in found or kind != "email"):
-            good.append((kind, a, b))
-    return sorted(base + good, key=lambda s: (KINDS.index(s[0]), s[1]))
+    free = [(kind, a, b) for kind, a, b in added if (i := int(np.searchsorted(starts, b))) == 0 or ends[i - 1] <= a]
+    return sorted(base + free, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def written(spans: list[Span]) -> str:
@@ -349,10 +431,10 @@ def find_spans(docs: DataFrame, net: Tagger, *, id_col: str = "doc_id", text_col
         for batch in batches:
             texts = text_of(batch.column(1))
             base = [base_spans(t) for t in texts]
-            spans = [all_spans(b, s, t) for b, s, t in zip(base, network_spans(net, texts), texts, strict=True)]
+            spans = [all_spans(b, s) for b, s in zip(base, network_spans(net, texts), strict=True)]
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE_KINDS]
             digests = pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base])
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([written(s) for s in spans]), pa.array([len(s) - len(b) for s, b in zip(spans, base, strict=True)], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_arrow(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", size=1 << 20)
