@@ -76,6 +76,14 @@ def kept_rate(scores: DataFrame, need: DataFrame, keys: list[str]) -> DataFrame:
     return best.where("r_ = 1").select(*keys, "need", F.when(F.col("score").isNull() | (F.col("need") < F.col("first") / 2), 1.0).otherwise(F.col("score")).alias("t"))
 
 
+def all_increments(ranked: DataFrame, variants: tuple[str, ...]) -> DataFrame:
+    """The increments of several variants, added up by score: (variant, split, score, incr) of one pass over the ranks."""
+    for v in variants:
+        ranked = increments(ranked, v).withColumnRenamed("incr", f"of_{v}")
+    sums = ranked.groupBy("split", "score").agg(*[F.sum(f"of_{v}").alias(f"of_{v}") for v in variants])
+    return sums.select("split", "score", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"of_{v}").alias("incr")) for v in variants])).alias("x")).select("x.variant", "split", "score", "x.incr")
+
+
 def increments(ranked: DataFrame, variant: str) -> DataFrame:
     """How much a detection counts: each 1; only the k best of an image; shares of the image; logarithmic in rank."""
     rank = F.col("rnk")

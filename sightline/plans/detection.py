@@ -11,6 +11,7 @@ from sightline.operators import matching as M
 from sightline.operators import transfer as T
 from sightline.plans.registry import n, query, r6
 from sightline.sources import views as S
+from sightline.sources.shared import written_once
 from sightline.sources.views import with_views
 
 IOU = """CASE WHEN d.w * d.h + g.w * g.h - greatest(least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x), 0) * greatest(least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y), 0) > 0
@@ -37,9 +38,9 @@ IMAGES = """im AS (SELECT i.image_id, i.camera, i.split, coalesce(best, 0.0)::DO
 
 
 def base(spark, sf_dir, tau=0.5):
-    """Images, boxes, detections, and matches with their split."""
+    """Images, boxes, detections, and matches with their split; the matches are made once in a session."""
     images, gt, det = S.images(spark, sf_dir), S.gt_boxes(spark, sf_dir), S.detections(spark, sf_dir)
-    return images, gt, det, M.matched(det, gt, tau).join(images, "image_id")
+    return images, gt, det, written_once(spark, ("matched", sf_dir, tau), lambda: M.matched(det, gt, tau).join(images, "image_id"))
 
 
 def split_gt(images, gt):
@@ -53,7 +54,7 @@ def split_gt(images, gt):
 def operating_point(spark, sf_dir):
     """F1-optimal threshold of the source split, and what it gives on every split."""
     images, gt, det, m = base(spark, sf_dir)
-    m = m.select("split", "score", "is_tp").cache()
+    m = m.select("split", "score", "is_tp")
     n_gt = split_gt(images, gt)
     best = V.f1_optimum(V.pr_curve(m.where("split = 'src_cal'"), n_gt, ["split"]), ["split"]).select(F.col("score").alias("t"))
     splits = n_gt.select("split").join(F.broadcast(best))
@@ -69,11 +70,11 @@ def greedy_matching(spark, sf_dir):
     return m.groupBy("split", n("is_tp")).agg(F.count("*").alias("n"), F.sum(F.col("det_id") % 1000).alias("id_sum"), r6(F.avg(F.coalesce("iou", F.lit(0.0))), "iou"))
 
 
-@query(with_views(f"{matched_sql(0.5)}, {CURVE} SELECT split, round(score, 6) AS score, tp::BIGINT AS tp, nd::BIGINT AS nd, round(tp / nd, 6) AS precision, round(tp / n_gt, 6) AS recall, round(2.0::DOUBLE * tp / (nd + n_gt), 6) AS f1 FROM curve WHERE nd % 50 = 0", *VIEWS, recursive=True))
+@query(with_views(f"{matched_sql(0.5)}, {CURVE} SELECT split, round(score, 6) AS score, tp::BIGINT AS tp, nd::BIGINT AS nd, round(tp / nd, 6) AS precision, round(tp / n_gt, 6) AS recall, round(2.0::DOUBLE * tp / (nd + n_gt), 6) AS f1 FROM curve", *VIEWS, recursive=True))
 def pr_curve(spark, sf_dir):
-    """Every fiftieth point of each split's curve."""
+    """Each split's whole curve."""
     images, gt, _, m = base(spark, sf_dir)
-    return V.pr_curve(m, split_gt(images, gt), ["split"]).where("nd % 50 = 0").select("split", r6("score"), n("tp"), n("nd"), r6("precision"), r6("recall"), r6("f1"))
+    return V.pr_curve(m, split_gt(images, gt), ["split"]).select("split", r6("score"), n("tp"), n("nd"), r6("precision"), r6("recall"), r6("f1"))
 
 
 @query(with_views(f"{matched_sql(0.5)}, {CURVE} SELECT split, round(score, 6) AS t, round(f1, 6) AS f1 FROM best", *VIEWS, recursive=True))
@@ -177,15 +178,13 @@ def kept_rate_variants(spark, sf_dir):
     """Thresholds on unlabelled splits that keep as much per image as 0.5 does on the source."""
     images = S.images(spark, sf_dir)
     ranked = M.rank_in_image(S.detections(spark, sf_dir)).join(images, "image_id")
+    rows = V.all_increments(ranked, ("plain", "top1", "share", "log"))
     size = images.groupBy("split").agg(F.count("*").alias("n"))
-    out = None
-    for variant in ("plain", "top1", "share", "log"):
-        rows = V.increments(ranked, variant)
-        kappa = rows.where("split = 'src_cal'").agg(F.sum(F.when(F.col("score") >= 0.5, F.col("incr")).otherwise(0.0)).alias("kept")).join(F.broadcast(size.where("split = 'src_cal'").select(F.col("n").alias("n_src"))))
-        need = size.where("split <> 'src_cal'").join(F.broadcast(kappa)).select("split", (F.col("kept") / F.col("n_src") * F.col("n")).alias("need"))
-        got = V.kept_rate(rows.where("split <> 'src_cal'"), need, ["split"]).select(F.lit(variant).alias("variant"), "split", F.round("need", 4).alias("need"), r6("t"))
-        out = got if out is None else out.union(got)
-    return out
+    kept = rows.where("split = 'src_cal'").groupBy("variant").agg(F.sum(F.when(F.col("score") >= 0.5, F.col("incr")).otherwise(0.0)).alias("kept"))
+    kappa = kept.join(F.broadcast(size.where("split = 'src_cal'").select(F.col("n").alias("n_src"))))
+    need = size.where("split <> 'src_cal'").join(F.broadcast(kappa)).select("variant", "split", (F.col("kept") / F.col("n_src") * F.col("n")).alias("need"))
+    got = V.kept_rate(rows.where("split <> 'src_cal'"), need, ["variant", "split"])
+    return got.select("variant", "split", F.round("need", 4).alias("need"), r6("t"))
 
 
 @query(with_views("""share AS (SELECT avg((score < 0.5)::INT) AS q FROM detections JOIN images USING (image_id) WHERE split = 'src_cal'), o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, (count(*) OVER () - 1) * q AS spot FROM detections JOIN images USING (image_id), share WHERE split = 'tgt_cal')
@@ -247,7 +246,7 @@ def jackknife(spark, sf_dir):
 @query()
 def platt_map(spark, sf_dir):
     """Calibration error of the source map on each split, before and after."""
-    m = base(spark, sf_dir)[3].select("split", "score", "is_tp", "iou").cache()
+    m = base(spark, sf_dir)[3].select("split", "score", "is_tp", "iou")
     a, b = C.platt(m.where("split = 'src_cal'"))
     error = lambda rows, name: C.calibration_error(C.bins(rows, 10, ["split"], "is_tp"), ["split"]).select("split", r6("error", name))
     return error(m, "before").join(error(C.platt_map(m, a, b), "after"), "split")
@@ -255,7 +254,7 @@ def platt_map(spark, sf_dir):
 
 @query()
 def isotonic_map(spark, sf_dir):
-    m = base(spark, sf_dir)[3].select("split", "score", "is_tp", "iou").cache()
+    m = base(spark, sf_dir)[3].select("split", "score", "is_tp", "iou")
     knots = C.isotonic_knots(m.where("split = 'src_cal'"))
     error = lambda rows, name: C.calibration_error(C.bins(rows, 10, ["split"], "is_tp"), ["split"]).select("split", r6("error", name))
     return error(m, "before").join(error(C.piecewise_map(m, knots), "after"), "split")
@@ -264,7 +263,7 @@ def isotonic_map(spark, sf_dir):
 @query()
 def em_mixture(spark, sf_dir):
     """Share of true positives on the unlabelled split by EM over binned scores, and the threshold of the mixture."""
-    m = base(spark, sf_dir)[3].select("split", "score", "is_tp").cache()
+    m = base(spark, sf_dir)[3].select("split", "score", "is_tp")
     moments = {r["is_tp"]: (r["m"], r["v"]) for r in m.where("split = 'src_cal'").groupBy("is_tp").agg(F.avg("score").alias("m"), F.var_pop("score").alias("v")).collect()}
     tp, fp = T.Beta(*moments[1]), T.Beta(*moments[0])
     bins = [(r["x"], r["n"]) for r in T.binned(m.where("split = 'tgt_cal'")).orderBy("x").collect()]

@@ -68,7 +68,7 @@ def qq_table(spark, sf_dir):
 @query()
 def roc_at_quantiles(spark, sf_dir):
     """Alarm rates at quantiles of the negatives' scores."""
-    im = M.image_max(S.images(spark, sf_dir), S.detections(spark, sf_dir), S.gt_boxes(spark, sf_dir)).select("max_score", "is_pos").cache()
+    im = M.image_max(S.images(spark, sf_dir), S.detections(spark, sf_dir), S.gt_boxes(spark, sf_dir)).select("max_score", "is_pos")
     t = im.where("NOT is_pos").agg(F.percentile("max_score", F.array(*map(F.lit, (0.5, 0.8, 0.9, 0.95)))).alias("ts")).select(F.explode("ts").alias("t"))
     alarm = (F.col("max_score") >= F.col("t")).cast("int")
     return im.join(F.broadcast(t)).groupBy("t").agg(r6(F.avg(F.when(F.col("is_pos"), alarm)), "sensitivity"), r6(F.avg(F.when(~F.col("is_pos"), alarm)), "far"))
@@ -142,10 +142,10 @@ def run_names(spark, sf_dir):
     return part.select("p_partkey", F.regexp_extract("p_type", "^([A-Z]+)", 1).alias("family"), F.regexp_extract("p_brand", "([0-9]+)$", 1).alias("size"), F.concat_ws("__to__", F.lower("p_brand"), F.lower("p_type")).alias("cell"), F.when(F.col("p_size") <= 10, "n").when(F.col("p_size") <= 30, "s").otherwise("x").alias("kind"))
 
 
-@query(with_views("SELECT ann_id, x, y, round(w, 2) AS w, round(h, 2) AS h FROM gt_boxes WHERE ann_id % 5 = 0", "gt_boxes"))
+@query(with_views("SELECT ann_id, x, y, round(w, 2) AS w, round(h, 2) AS h FROM gt_boxes", "gt_boxes"))
 def normalised_boxes(spark, sf_dir):
     """Boxes to normalised centres and back."""
-    g = S.gt_boxes(spark, sf_dir).where("ann_id % 5 = 0")
+    g = S.gt_boxes(spark, sf_dir)
     cx, cy, w, h = (F.col("x") + F.col("w") / 2) / 1024, (F.col("y") + F.col("h") / 2) / 512, F.col("w") / 1024, F.col("h") / 512
     return g.select("ann_id", *centre_to_corner(cx, cy, w, h, F.lit(1024), F.lit(512)))
 
@@ -167,9 +167,9 @@ def bca_interval(spark, sf_dir):
     from sightline.plans.detection import image_stats
 
     images, gt, _, m = base(spark, sf_dir)
-    units = image_stats(images, gt, m).select("image_id", (2.0 * F.col("tp")).alias("top"), (F.col("nd") + F.col("ng")).alias("bottom")).cache()
+    units = image_stats(images, gt, m).select("image_id", (2.0 * F.col("tp")).alias("top"), (F.col("nd") + F.col("ng")).alias("bottom"))
     point = units.agg(F.try_divide(F.sum("top"), F.sum("bottom")).alias("p")).first()["p"]
-    reps = I.replicate_ratio(I.weights(units, "image_id", 200), "top", "bottom", []).cache()
+    reps = I.replicate_ratio(I.weights(units, "image_id", 200), "top", "bottom", [])
     below = reps.agg(F.avg((F.col("value") < point).cast("int")).alias("b")).first()["b"]
     j = I.jackknife_ratio(units, "top", "bottom").agg(F.avg("value").alias("m")).first()["m"]
     moments = I.jackknife_ratio(units, "top", "bottom").agg(F.sum(F.pow(j - F.col("value"), 3)).alias("c"), F.sum(F.pow(j - F.col("value"), 2)).alias("s")).first()

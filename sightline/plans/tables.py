@@ -28,6 +28,9 @@ def dedup_keep_first(spark, sf_dir):
     return first.select("f.doc_id", "f.camera")
 
 
+#: Blocks of hashes that meet each other.
+DISTANCE_BLOCKS = 8
+
 NEAR = "near AS (SELECT a.vec_id, b.hash AS near_hash, bit_count(xor(a.hash16, b.hash))::BIGINT AS distance FROM hashes a, (SELECT DISTINCT hash16 AS hash FROM hashes WHERE split = 'test') b WHERE a.split <> 'test' AND bit_count(xor(a.hash16, b.hash)) <= 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, near_hash) = 1)"
 
 
@@ -49,18 +52,24 @@ def hamming_counts(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(d <= k, F.lit(False)).cast("long")).alias(f"at_{k}") for k in (0, 2, 4)])
 
 
-@query(with_views(f"{NEAR} SELECT vec_id, split FROM hashes WHERE split <> 'test' AND vec_id NOT IN (SELECT vec_id FROM near)", "hashes"))
+@query(with_views("SELECT vec_id, split FROM hashes h WHERE split <> 'test' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT hash60 AS hash FROM hashes WHERE split = 'test') t WHERE bit_count(xor(h.hash60, t.hash)) <= 14)", "hashes"))
 def clean_set(spark, sf_dir):
-    h, near = near_test(spark, sf_dir)
+    """Files with no file of the test split within 14 of 60 bits."""
+    h = S.hashes(spark, sf_dir)
+    near = M.nearest_hash(h.where("split <> 'test'").select(F.col("vec_id").alias("id"), F.col("hash60").alias("hash")), h.where("split = 'test'").select(F.col("hash60").alias("hash")), 14, 60)
     return h.where("split <> 'test'").join(near, F.col("vec_id") == F.col("id"), "left_anti").select("vec_id", "split")
 
 
-@query(with_views("x AS (SELECT bit_count(xor(a.hash60, b.hash60)) AS d FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id AND a.vec_id % 10 = b.vec_id % 10) SELECT d::BIGINT AS distance, count(*) AS n FROM x GROUP BY d", "hashes"))
+@query(with_views("x AS (SELECT bit_count(xor(a.hash60, b.hash60)) AS d FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id) SELECT d::BIGINT AS distance, count(*) AS n FROM x GROUP BY d", "hashes"))
 def hash_distances(spark, sf_dir):
-    """Distances within ten fixed groups of vectors."""
-    h = S.hashes(spark, sf_dir).select("vec_id", "hash60", (F.col("vec_id") % 10).alias("g"))
-    b = h.select(F.col("vec_id").alias("other"), F.col("hash60").alias("hash"), "g")
-    return h.join(b, "g").where("vec_id < other").groupBy(n(F.bit_count(F.col("hash60").bitwiseXOR(F.col("hash"))), "distance")).agg(F.count("*").alias("n"))
+    """Distances of all pairs: equal hashes count once with their number, and the rest meets block by block, so a task holds two blocks."""
+    h = S.hashes(spark, sf_dir).groupBy("hash60").agg(F.count("*").alias("c"))
+    blocks = h.withColumn("block", F.pmod(F.xxhash64("hash60"), F.lit(DISTANCE_BLOCKS)).cast("int"))
+    x = blocks.select("block", F.col("hash60").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.col("block"), F.lit(DISTANCE_BLOCKS - 1))).alias("other"))
+    y = blocks.select(F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("hash60").alias("b"), F.col("c").alias("cb"))
+    pairs = x.join(y, ["block", "other"]).where("block < other OR a <= b")
+    number = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb")).cast("long")
+    return pairs.groupBy(n(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "distance")).agg(F.sum(number).alias("n")).where("n > 0")
 
 
 @query(with_views("g AS (SELECT hash, camera, count(*) AS c, count(DISTINCT lang) AS langs FROM docs GROUP BY hash, camera), k AS (SELECT *, CASE WHEN c = 1 THEN 'single' WHEN langs > 1 THEN 'mixed' ELSE 'copies' END AS kind FROM g) SELECT kind, count(*) AS groups, sum(c)::BIGINT AS n FROM k GROUP BY kind", "docs"))
@@ -84,11 +93,12 @@ def camera_overlap(spark, sf_dir):
     return per.agg(has(t).alias("in_train"), has(v).alias("in_val"), has(t & v).alias("shared"), has(t & ~v).alias("only_train"), r6(F.try_divide(F.sum(F.when(t, F.col("v")).otherwise(0)), F.sum("v")), "share"))
 
 
-@query("SELECT doc_id, 'a' AS pool FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 100000, 'b' FROM documents WHERE doc_id % 3 = 1")
+@query("SELECT doc_id, 'documents' AS pool FROM documents UNION ALL SELECT page_id + (SELECT max(doc_id) + 1 FROM documents), 'pages' FROM pages")
 def pooled_ids(spark, sf_dir):
-    """Two splits pooled with shifted ids."""
-    d = S.table(spark, sf_dir, "documents")
-    return d.where("doc_id % 3 = 0").select("doc_id", F.lit("a").alias("pool")).unionByName(d.where("doc_id % 3 = 1").select((F.col("doc_id") + 100000).alias("doc_id"), F.lit("b").alias("pool")))
+    """Two whole tables pooled; the ids of the second are shifted beyond those of the first."""
+    d, p = S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "pages")
+    beyond = d.agg((F.max("doc_id") + 1).alias("beyond"))
+    return d.select("doc_id", F.lit("documents").alias("pool")).unionByName(p.join(F.broadcast(beyond)).select((F.col("page_id") + F.col("beyond")).alias("doc_id"), F.lit("pages").alias("pool")))
 
 
 @query("SELECT e.event_id, regexp_extract(event_type, '^([a-z]+)', 1) AS kind, coalesce(json_extract_string(props, '$.page'), 'none') AS page FROM events e")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import bits, uniform
+from sightline.sources.shared import written_once
 
 #: A first positive event must follow the first event by at least this many seconds.
 RUN_IN = 864_000
@@ -36,7 +37,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gt(lines(spark, sf_dir))
+    return written_once(spark, ("boxes", sf_dir), lambda: _gt(lines(spark, sf_dir)))
 
 
 def _gt(rows: DataFrame) -> DataFrame:
@@ -53,6 +54,10 @@ def _gt(rows: DataFrame) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, ("detections", sf_dir), lambda: _detections(spark, sf_dir))
+
+
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jittered boxes of most ground truth, and background boxes; scores are squared off the source split."""
     rows = lines(spark, sf_dir)
     u = lambda salt: uniform(salt, "ann_id")
