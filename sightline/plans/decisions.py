@@ -103,12 +103,12 @@ def containment(spark, sf_dir):
     return sizes.select((F.col("out") == 0).alias("ids_in"), "more", "cameras_apart")
 
 
-LEAKY = "test AS (SELECT DISTINCT hash60 AS hash FROM hashes WHERE split = 'test'), leaky AS (SELECT vec_id FROM hashes WHERE split <> 'test' AND EXISTS (SELECT 1 FROM test WHERE bit_count(xor(hash60, hash)) <= 12)), copies AS (SELECT vec_id, row_number() OVER (PARTITION BY split, hash16 ORDER BY vec_id) > 1 AS dup FROM hashes)"
+LEAKY = "test AS (SELECT DISTINCT hash16 AS hash FROM hashes WHERE split = 'test'), leaky AS (SELECT vec_id FROM hashes WHERE split <> 'test' AND EXISTS (SELECT 1 FROM test WHERE bit_count(xor(hash16, hash)) <= 1)), copies AS (SELECT vec_id, row_number() OVER (PARTITION BY split, hash16 ORDER BY vec_id) > 1 AS dup FROM hashes)"
 
 
 def leaky(spark, sf_dir):
     h = S.hashes(spark, sf_dir)
-    near = M.nearest_hash(h.where("split <> 'test'").select(F.col("vec_id").alias("id"), F.col("hash60").alias("hash")), h.where("split = 'test'").select(F.col("hash60").alias("hash")), 12, 60)
+    near = M.nearest_hash(h.where("split <> 'test'").select(F.col("vec_id").alias("id"), F.col("hash16").alias("hash")), h.where("split = 'test'").select(F.col("hash16").alias("hash")), 1, 16)
     return h, near.select(F.col("id").alias("vec_id"))
 
 

@@ -52,11 +52,11 @@ def hamming_counts(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(d <= k, F.lit(False)).cast("long")).alias(f"at_{k}") for k in (0, 2, 4)])
 
 
-@query(with_views("SELECT vec_id, split FROM hashes h WHERE split <> 'test' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT hash60 AS hash FROM hashes WHERE split = 'test') t WHERE bit_count(xor(h.hash60, t.hash)) <= 14)", "hashes"))
+@query(with_views("SELECT vec_id, split FROM hashes h WHERE split <> 'test' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT hash16 AS hash FROM hashes WHERE split = 'test') t WHERE bit_count(xor(h.hash16, t.hash)) <= 1)", "hashes"))
 def clean_set(spark, sf_dir):
-    """Files with no file of the test split within 14 of 60 bits."""
+    """Files with no file of the test split within one of 16 bits."""
     h = S.hashes(spark, sf_dir)
-    near = M.nearest_hash(h.where("split <> 'test'").select(F.col("vec_id").alias("id"), F.col("hash60").alias("hash")), h.where("split = 'test'").select(F.col("hash60").alias("hash")), 14, 60)
+    near = M.nearest_hash(h.where("split <> 'test'").select(F.col("vec_id").alias("id"), F.col("hash16").alias("hash")), h.where("split = 'test'").select(F.col("hash16").alias("hash")), 1, 16)
     return h.where("split <> 'test'").join(near, F.col("vec_id") == F.col("id"), "left_anti").select("vec_id", "split")
 
 
