@@ -46,12 +46,13 @@ def lrp_optimum(matched: DataFrame, n_gt: DataFrame, keys: list[str]) -> DataFra
 
 def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the best precision at recall r or more, over r = 0, 0.01, ..., 1."""
-    better = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
-    hull = curve.withColumn("best", F.max("precision").over(better)).withColumn("before", F.lag("recall", 1, -1.0).over(Window.partitionBy(*keys).orderBy(F.desc("score"))))
-    # recall points that this row is the first to reach
-    points = F.greatest(F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("before") * 100 + 1e-9), F.lit(0))
-    points = F.when(F.col("before") < 0, F.floor(F.col("recall") * 100 + 1e-9) + 1).otherwise(points)
-    return hull.groupBy(*keys).agg((F.sum(points * F.col("best")) / 101).alias("ap"))
+    # the best precision of each hundredth of recall: from there on at most 101 rows of a key
+    level = F.floor(F.col("recall") * 100 + 1e-9)
+    best = curve.where("recall IS NOT NULL").groupBy(*keys, level.alias("level")).agg(F.max("precision").alias("best"))
+    falling = Window.partitionBy(*keys).orderBy(F.desc("level"))
+    points = F.col("level") - F.lead("level", 1, -1).over(falling)
+    steps = best.select(*keys, points.alias("points"), F.max("best").over(falling.rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
+    return steps.groupBy(*keys).agg((F.sum(F.col("points") * F.col("best")) / 101).alias("ap"))
 
 
 def platt(matched: DataFrame, grid: int = 1000, steps: int = 50) -> tuple[float, float]:
