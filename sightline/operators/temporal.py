@@ -15,10 +15,10 @@ def sessions(rows: DataFrame, key: str, gap: int, order: str = "t") -> DataFrame
 
 def nearest_positive(rows: DataFrame, key: str) -> DataFrame:
     """For each negative row the least distance in seconds to a positive row of its key, on either side: two windows, no join."""
-    w = Window.partitionBy(key).orderBy("t")
     mark = F.when(F.col("visible"), F.col("t"))
-    before = F.last(mark, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # both frames only grow; one that shrinks would be added up anew for every row
+    so_far = lambda order: Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    before, after = F.max(mark).over(so_far(F.asc("t"))), F.min(mark).over(so_far(F.desc("t")))
     gap = F.least(F.col("t") - before, after - F.col("t"))  # least() leaves nulls out
     return rows.withColumn("gap", gap).where(~F.col("visible"))
 
