@@ -1,12 +1,14 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens. The round-robin has a quantum of one token: the source that is
-furthest behind its target share is served next. Served that way, token k of a source with weight
-m has the turn (2k + 1) / 2m, so how many tokens A_s(w) each source has given after w windows has a
-closed form in integers. That is the deficit carried over: it depends on w alone, so every
-partition knows the deficits at any window without hearing from the others, and no token is
-shuffled. A window holds one run of tokens from each source, in the order of the sources; a
-source that runs dry leaves its share to the rest. Only the very last window can be short.
+Each source is a queue of tokens. The source that is furthest behind its target share is served
+next and gives a quantum of ``QUANTUM`` tokens, or what is left of its queue. The turn of a quantum
+is the middle of its tokens over the weight of its source, so where it stands among all quanta has
+a closed form in integers. That is the deficit carried over windows: it depends on the turn alone,
+so every partition knows the deficits at any window without hearing from the others, and no token
+is shuffled. The quanta in the order of their turns are cut into windows. At any border a source is
+off its share by less than two quanta, and a document of n tokens is cut at most about
+n / QUANTUM + n / window times. A source that runs dry leaves its share to the rest. Only the very
+last window can be short.
 
 Passes: (1) tokenise, write ids and each document's place in its (task, source) run to the shared
 folder; (2) add up the runs, a few numbers per task and source; (3) cut each document at the
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import map_arrow, stored, text_of
 from sightline.llm.rankmerge import merger
 
+#: Tokens that a source gives in its turn: an eighth of a window. Smaller ones mix closer and cut documents more.
+QUANTUM = 512
 #: Sources that have a queue of their own at least, those of most tokens first; so many more queues serve the rest.
 OWN_QUEUES = 1024
 #: Rows (task, queue) of run offsets that may be broadcast, about 60 bytes each.
@@ -44,63 +47,49 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Rounds:
-    """A_s(w): tokens that each queue has given to the windows before w."""
-
-    def __init__(self, totals: list[int], weights: list[int], window: int):
-        self.totals, self.weights, self.window, self.total = totals, weights, window, sum(totals)
-        self.alive = [i for i, t in enumerate(totals) if t]
-        dry = sorted({Fraction(totals[i], weights[i]) for i in self.alive})
-        #: Where the rate changes: (turn, tokens given by then, weight of the queues still alive).
-        self.bends, given, before = [], Fraction(0), Fraction(0)
-        for turn in dry:
-            rate = sum(weights[i] for i in self.alive if Fraction(totals[i], weights[i]) >= turn)
-            self.bends.append((before, given, rate))
-            given, before = given + rate * (turn - before), turn
-        self._known: dict[int, list[int]] = {}
-
-    def given(self, w: int) -> list[int]:
-        """A_s(w) for every queue; sums to w windows, or to all tokens."""
-        if w not in self._known:
+    """The order of all quanta of all queues, and the windows that it is cut into."""
+
+    def __init__(self, totals: list[int], weights: list[int], window: int, quantum: int):
+        self.totals, self.weights, self.window, self.quantum = totals, weights, window, quantum
+        #: (queue, weight, full quanta, tokens of the last one if it is short) of the queues that have tokens.
+        self.queues = [(i, w, *divmod(t, quantum)) for i, (t, w) in enumerate(zip(totals, weights, strict=True)) if t]
+        self._known: dict[tuple[int, int], int] = {}
+
+    def given(self, queue: int, k: int) -> int:
+        """Tokens of all queues that are served before quantum k of a queue."""
+        if (queue, k) not in self._known:
             if len(self._known) > 4096:
                 self._known.clear()
-            self._known[w] = self._given(min(w * self.window, self.total))
-        return self._known[w]
-
-    def _given(self, tokens: int) -> list[int]:
-        out = [0] * len(self.totals)
-        if tokens >= self.total:
-            return list(self.totals)
-        turn, base, rate = max((b for b in self.bends if b[1] <= tokens), key=lambda b: b[0])
-        at = turn + (tokens - base) / rate
-        num, den = at.numerator, at.denominator
-        for i in self.alive:
-            out[i] = min(self.totals[i], (2 * num * self.weights[i] + den) // (2 * den))
-        off = tokens - sum(out)
-        while off > 0:  # next turns, smallest first
-            i = min((i for i in self.alive if out[i] < self.totals[i]), key=lambda i: (Fraction(2 * out[i] + 1, self.weights[i]), i))
-            out[i], off = out[i] + 1, off - 1
-        while off < 0:  # give back the last turns
-            i = max((i for i in self.alive if out[i] > 0), key=lambda i: (Fraction(2 * out[i] - 1, self.weights[i]), i))
-            out[i], off = out[i] - 1, off + 1
-        return out
-
-    def window_of(self, queue: int, k: int) -> int:
-        """The window that takes token k of a queue."""
-        m, turn = self.weights[queue], 0
-        for i in self.alive:
-            x = (2 * k + 1) * self.weights[i]
-            turn += min(self.totals[i], ((x if i < queue else x - 1) // m + 1) // 2)
-        return turn // self.window
-
-    def pieces(self, queue: int, begin: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, window, offset there) of tokens begin .. begin + n of a queue."""
-        at, end, w = begin, begin + n, self.window_of(queue, begin)
+            self._known[queue, k] = self._given(queue, k)
+        return self._known[queue, k]
+
+    def _given(self, queue: int, k: int) -> int:
+        own, q = self.weights[queue], self.quantum
+        twice_middle = k * q + min(self.totals[queue], (k + 1) * q)
+        tokens = 0
+        for i, weight, full, rest in self.queues:
+            # of equal turns the queue of the smaller number comes first
+            turn = twice_middle * weight - (i >= queue)
+            tokens += q * min(full, (turn // (q * own) + 1) // 2)
+            if rest and (2 * full * q + rest) * own <= turn:
+                tokens += rest
+        return tokens
+
+    def pieces(self, queue: int, begin: int, n: int) -> list[list[int]]:
+        """[start in the document, length, window, offset there] of tokens begin .. begin + n of a queue."""
+        at, end, out = begin, begin + n, []
         while at < end:
-            a, b = self.given(w), self.given(w + 1)
-            if (stop := min(end, b[queue])) > at:
-                yield at - begin, stop - at, w, sum(b[:queue]) - sum(a[:queue]) + at - a[queue]
-                at = stop
-            w += 1
+            k = at // self.quantum
+            place, stop = self.given(queue, k) + at - k * self.quantum, min(end, (k + 1) * self.quantum)
+            while at < stop:
+                w, offset = divmod(place, self.window)
+                size = min(stop - at, self.window - offset)
+                if out and out[-1][2] == w and out[-1][3] + out[-1][1] == offset:  # the same source again
+                    out[-1][1] += size
+                else:
+                    out.append([at - begin, size, w, offset])
+                at, place = at + size, place + size
+        return out
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -135,11 +124,12 @@ def queues_of(sums: DataFrame, shares: Mapping[str, int] | None, own: int) -> Da
     return sums.join(known, "source", "left").select("source", F.coalesce("own", shared).alias("queue"), weight.cast("long").alias("weight"), "total")
 
 
-def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int = 2, shares: Mapping[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", own_queues: int = OWN_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int = 2, shares: Mapping[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", own_queues: int = OWN_QUEUES, quantum: int = QUANTUM) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source).
 
     ``shares``: target weight of a source, a whole number from 1; by default each source's own tokens, so
-    that every window has the mixture of the corpus. A source without one gets 1.
+    that every window has the mixture of the corpus. A source without one gets 1. ``quantum``: tokens that a
+    source gives in its turn.
     """
     if any(int(x) < 1 or int(x) != x for x in (shares or {}).values()):
         raise ValueError("shares are whole numbers from 1")
@@ -153,7 +143,7 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int =
     if not totals:
         return spark.createDataFrame([], PIECES)
     order = sorted(totals)
-    rounds = Rounds([totals[q]["total"] for q in order], [totals[q]["weight"] for q in order], window)
+    rounds = Rounds([totals[q]["total"] for q in order], [totals[q]["weight"] for q in order], window, quantum)
     at, width = {q: i for i, q in enumerate(order)}, merger(vocabulary).id_type
     before = Window.partitionBy("queue").orderBy("source", "unit").rowsBetween(Window.unboundedPreceding, -1)
     bases = runs.join(queued.select("source", "queue"), "source").select("source", "unit", "queue", F.coalesce(F.sum("run").over(before), F.lit(0)).alias("base"))

@@ -9,31 +9,45 @@ from sightline.llm import packing
 from sightline.llm.queries import vocabulary
 
 
-def served(totals, weights):
-    """Token by token: the queue whose next turn is smallest."""
-    heap = [(Fraction(1, 2 * w), i, 0) for i, (t, w) in enumerate(zip(totals, weights)) if t]
+def served(totals, weights, quantum):
+    """Token by token: the queue whose next quantum has the smallest turn."""
+    turn = lambda i, k: (Fraction(k * quantum + min(totals[i], (k + 1) * quantum), 2 * weights[i]), i, k)
+    heap = [turn(i, 0) for i, t in enumerate(totals) if t]
     heapq.heapify(heap)
     while heap:
         _, i, k = heapq.heappop(heap)
-        yield i
-        if k + 1 < totals[i]:
-            heapq.heappush(heap, (Fraction(2 * k + 3, 2 * weights[i]), i, k + 1))
+        yield from [i] * min(quantum, totals[i] - k * quantum)
+        if (k + 1) * quantum < totals[i]:
+            heapq.heappush(heap, turn(i, k + 1))
 
 
-@pytest.mark.parametrize("totals,weights", [([50, 7, 0, 130], [50, 7, 1, 130]), ([40, 40, 3], [1, 2, 9]), ([1], [1]), ([5, 5, 5], [1, 1, 1]), ([1000, 1, 1], [1000, 1, 1])])
-def test_rounds_equal_token_by_token_round_robin(totals, weights):
+@pytest.mark.parametrize("quantum", [1, 5, 16, 40])
+@pytest.mark.parametrize("totals,weights", [([50, 7, 0, 130], [50, 7, 1, 130]), ([40, 40, 3], [1, 2, 9]), ([1], [1]), ([5, 5, 5], [1, 1, 1]), ([1000, 1, 1], [1000, 1, 1]), ([640, 320, 90, 61], [640, 320, 90, 61])])
+def test_rounds_equal_token_by_token_round_robin(totals, weights, quantum):
     window = 16
-    rounds, order = packing.Rounds(totals, weights, window), list(served(totals, weights))
-    taken = [0] * len(totals)
-    for at, i in enumerate(order):
-        if at % window == 0:
-            assert rounds.given(at // window) == taken
-        assert rounds.window_of(i, taken[i]) == at // window
-        taken[i] += 1
-    assert rounds.given(len(order) // window + 1) == totals
-    if totals == weights:  # the deficit of a queue stays below a few tokens
-        for w in range(len(order) // window):
-            assert all(abs(g - w * window * t / sum(totals)) <= 2 for g, t in zip(rounds.given(w), totals))
+    rounds, order = packing.Rounds(totals, weights, window, quantum), list(served(totals, weights, quantum))
+    places = [[at for at, i in enumerate(order) if i == s] for s in range(len(totals))]
+    for s, want in enumerate(places):
+        assert len(want) == totals[s]
+        for begin, n in [(0, len(want)), (len(want) // 3, len(want) // 2), (len(want) - 1, 1)]:
+            if not want or n < 1:
+                continue
+            got = rounds.pieces(s, begin, n)
+            assert [w * window + o + x for _, size, w, o in got for x in range(size)] == want[begin : begin + n]
+            assert all(o + size <= window for _, size, _, o in got) and [p[0] for p in got] == [sum(p[1] for p in got[:j]) for j in range(len(got))]
+    if totals == weights:  # the deficit of a queue at any border stays below two quanta
+        for at in range(0, len(order), window):
+            assert all(abs(sum(x < at for x in places[s]) - at * t / sum(totals)) <= 2 * quantum for s, t in enumerate(totals))
+
+
+def test_documents_are_cut_no_more_often_than_quanta_and_windows_ask():
+    totals = [(s + 1) * 4000 for s in range(12)]
+    rounds = packing.Rounds(totals, totals, 4096, 512)
+    for n in (1, 200, 512, 3000):
+        for begin in range(0, totals[3] - n, 777):
+            assert len(rounds.pieces(3, begin, n)) <= 2 + n // 512 + 1 + n // 4096
+    cut = sum(len(rounds.pieces(3, begin, 200)) for begin in range(0, totals[3], 200))
+    assert cut / (totals[3] / 200) < 1.6
 
 
 def test_pack_covers_every_token_once(spark):
@@ -41,7 +55,7 @@ def test_pack_covers_every_token_once(spark):
 
     rows = [(i, "word " * (i * 37 % 300) + "tail.", f"s{i % 3}" if i % 7 else None, "x") for i in range(120)] + [(500, None, "s0", "x"), (501, "", "s1", "x"), (7, "again", "s1", "x"), (7, "again", "s1", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long".replace("n long", "length string")).repartition(4)
-    got = packing.pack(docs, vocabulary(), window=256).toPandas()
+    got = packing.pack(docs, vocabulary(), window=256, quantum=32).toPandas()
     library = Tokenizer.from_file(vocabulary())
     left = sorted((i, t or "") for i, t, _, _ in rows)
     ids = {(i, t): [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in left}
@@ -62,7 +76,7 @@ def test_pack_shares_and_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.pack(empty, vocabulary()).count() == 0
     docs = spark.createDataFrame([(i, "a b c d e f g", f"s{i % 2}") for i in range(200)], "doc_id long, text string, source string")
-    got = packing.pack(docs, vocabulary(), window=64, shares={"s0": 3, "s1": 1}).toPandas()
+    got = packing.pack(docs, vocabulary(), window=64, quantum=1, shares={"s0": 3, "s1": 1}).toPandas()
     first = got[got.sequence_id < 5].groupby(["sequence_id", "source"])["length"].sum().unstack()
     assert (first["s0"].between(47, 49)).all()
 
@@ -71,7 +85,7 @@ def test_more_sources_than_queues_keep_the_large_ones_apart(spark):
     sizes = {"big": 600, "wide": 300, **{f"t{i}": 10 + i for i in range(9)}}
     rows = [(n * 1000 + i, "a b c d e f g", s) for n, (s, k) in enumerate(sizes.items()) for i in range(k)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = packing.pack(docs, vocabulary(), window=128, own_queues=2).toPandas()
+    got = packing.pack(docs, vocabulary(), window=128, quantum=1, own_queues=2).toPandas()
     one = packing.pack(docs, vocabulary(), window=128).toPandas()
     assert set(got.source) == set(sizes) and got.groupby("doc_id")["length"].sum().to_dict() == one.groupby("doc_id")["length"].sum().to_dict()
     whole = got[got.sequence_id < got.sequence_id.max()].groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
