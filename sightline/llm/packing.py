@@ -5,10 +5,12 @@ next and gives a quantum of ``QUANTUM`` tokens, or what is left of its queue. Th
 is the middle of its tokens over the weight of its source, so where it stands among all quanta has
 a closed form in integers. That is the deficit carried over windows: it depends on the turn alone,
 so every partition knows the deficits at any window without hearing from the others, and no token
-is shuffled. The quanta in the order of their turns are cut into windows. At any border a source is
-off its share by less than two quanta, and a document of n tokens is cut at most about
-n / QUANTUM + n / window times. A source that runs dry leaves its share to the rest. Only the very
-last window can be short.
+is shuffled. The quanta in the order of their turns are cut into windows, and a document of n
+tokens is cut about n / QUANTUM + n / window times. At any turn a source is within half a quantum
+of its share. Sources of equal weight have equal turns and are served one after the other, so at a
+window's border a source can be off by a quantum and a half and its share of half a quantum for
+each other source. A source that runs dry leaves its share to the rest. Only the very last window
+can be short.
 
 Passes: (1) tokenise, write ids and each document's place in its (task, source) run to the shared
 folder; (2) add up the runs, a few numbers per task and source; (3) cut each document at the

@@ -35,7 +35,7 @@ def test_rounds_equal_token_by_token_round_robin(totals, weights, quantum):
             got = rounds.pieces(s, begin, n)
             assert [w * window + o + x for _, size, w, o in got for x in range(size)] == want[begin : begin + n]
             assert all(o + size <= window for _, size, _, o in got) and [p[0] for p in got] == [sum(p[1] for p in got[:j]) for j in range(len(got))]
-    if totals == weights:  # the deficit of a queue at any border stays below two quanta
+    if totals == weights:  # in these mixtures no queue is off by more than two quanta at a border
         for at in range(0, len(order), window):
             assert all(abs(sum(x < at for x in places[s]) - at * t / sum(totals)) <= 2 * quantum for s, t in enumerate(totals))
 
