@@ -1,5 +1,6 @@
 """The pipeline against a plain version, stage by stage, on a small corpus."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 import corpus_pipeline as P
 from sightline.llm import decontam, quality, simhash
+from sightline.llm.common import shared_dir
 from tests_llm_plain import closure_of, keep_lines
 
 
@@ -76,3 +78,12 @@ def test_line_dedup_keeps_what_matched_nothing(spark):
     frame = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").coalesce(1)
     got = {r.doc_id: (r.text, r.n_chars) for r in P.without_repeated_lines(spark, frame, "").collect()}
     assert got == {1: (unique, len(unique)), 2: (docs[1][1], len(docs[1][1])), 3: ("short rest", 10)}
+
+
+def test_line_dedup_gives_its_tables_up(spark):
+    frame = spark.createDataFrame([(i, f"one line of many common words that goes on to w{i}", 0) for i in range(6)], "doc_id long, text string, n_chars long").coalesce(1)
+    at = shared_dir(spark).removeprefix("file://")
+    before = {*os.listdir(at)}
+    assert [r.doc_id for r in P.without_repeated_lines(spark, frame, "").collect()] == [0]
+    new = {name.rsplit("-", 1)[0] for name in {*os.listdir(at)} - before}
+    assert "line-words" in new and not new & {"line-classes", "line-candidates", "line-involved", "line-sets", "line-pairs"}
