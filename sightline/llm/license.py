@@ -9,8 +9,9 @@ and a span is verified by the share of the template's pairs that it holds.
 A base phrase stands where one diagonal holds all of its pairs. Base phrases are templates too, so
 their places come out of the same votes.
 
-One scan of the texts writes each document's word count and its few hits to the shared folder; all
-later steps work on that. The templates are a fixed table of some hundred positions.
+One scan of the texts keeps each document's word count and its few hits; these are dealt by row
+once, and all later steps work where they lie. Nothing is written. The templates are a fixed table
+of some hundred positions.
 
 Defined results: a null text is empty; without hits both label columns are "", the score is 0 and
 the first and last word are null; repeated rows keep their rows; other columns are ignored.
@@ -23,8 +24,6 @@ import string
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import stored
-
 GAP = 3
 #: Share of a template's word pairs that makes a label.
 LEAST = 0.85
@@ -60,8 +59,8 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
 
 def template_positions(spark) -> DataFrame:
     """(template, label, base, pairs, q, a, b, h): the word pair (a, b) at position q, of ``pairs`` in all."""
-    rows = [(i, label, base, len(words) - 1, q, words[q], words[q + 1]) for i, label, base, words in templates() for q in range(len(words) - 1)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, q int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
+    rows = ", ".join(f"({i}, '{label}', {base}, {len(words) - 1}, {q}, '{words[q]}', '{words[q + 1]}')" for i, label, base, words in templates() for q in range(len(words) - 1))
+    return spark.sql(f"SELECT *, xxhash64(a, b) AS h FROM VALUES {rows} AS t(template, label, base, pairs, q, a, b)")
 
 
 def words_of(text) -> F.Column:
@@ -71,7 +70,7 @@ def words_of(text) -> F.Column:
 
 def hits(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, n_words, hits): one row per input row; hits are the word pairs with a template's hash."""
-    hashes = [r["h"] for r in positions.select("h").distinct().collect()]  # fixed templates only
+    hashes = sorted({r["h"] for r in positions.select("h").collect()})  # fixed templates only
     words = docs.select(docs[id_col].cast("long").alias("doc_id"), words_of(docs[text_col].cast("string")).alias("words"))
     after = lambda i: F.get(F.col("words"), i + 1)
     pairs = F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("a"), after(i).alias("b"), F.xxhash64(w, after(i)).alias("h")))
@@ -79,34 +78,40 @@ def hits(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id", text_
 
 
 def diagonals(found: DataFrame, positions: DataFrame) -> DataFrame:
-    """(row, template, label, base, pairs, diagonal, votes, q: set of positions)."""
-    votes = found.select("row", F.explode("hits").alias("x")).select("row", "x.*")
-    joined = votes.join(F.broadcast(positions), ["h", "a", "b"])
-    return joined.groupBy("row", "template", "label", "base", "pairs", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("q").alias("q"))
+    """(row, doc_id, n_words, template, label, base, pairs, diagonal, votes, q: set of positions), dealt by row; a row without votes has one with nulls."""
+    votes = found.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("x")).select("row", "doc_id", "n_words", "x.*")
+    joined = votes.join(F.broadcast(positions), ["h", "a", "b"], "left").withColumn("diagonal", F.col("p") - F.col("q")).drop("h", "a", "b", "p").repartition("row")
+    return joined.groupBy("row", "doc_id", "n_words", "template", "label", "base", "pairs", "diagonal").agg(F.count("q").alias("votes"), F.collect_set("q").alias("q"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per input row."""
     positions = template_positions(docs.sparkSession)
-    found = stored(hits(docs, positions, id_col=id_col, text_col=text_col), "license-hits")
-    voted = stored(diagonals(found, positions), "license-diagonals")
-    places = voted.where("base and votes = pairs").groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
+    voted = diagonals(hits(docs, positions, id_col=id_col, text_col=text_col), positions)
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"), F.lit(0))
     bands = voted.withColumn("apart", apart).withColumn("band", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = bands.groupBy("row", "template", "label", "pairs", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("q")))).alias("held"))
+    place = F.when(F.col("base") & (F.col("votes") == F.col("pairs")), F.col("diagonal"))
+    spans = bands.groupBy("row", "doc_id", "n_words", "template", "label", "pairs", "band").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("q")))).alias("held"), F.count(place).alias("places"), F.min(place).alias("first_word"), F.max(place).alias("last_word")
+    )
     share = F.col("held") / F.col("pairs")
-    best = spans.groupBy("row").agg(F.max(share).alias("score"), F.collect_set(F.when(share >= LEAST, F.col("label"))).alias("method_set"))
-    joined = found.select("row", "doc_id", "n_words").join(places, "row", "left").join(best, "row", "left")
-    none = F.array().cast("array<string>")
-    return joined.select(
+    told = spans.groupBy("row", "doc_id", "n_words").agg(
+        F.sum("places").alias("n_base"),
+        F.min("first_word").alias("first_word"),
+        F.max("last_word").alias("last_word"),
+        F.collect_set(F.when(F.col("places") > 0, F.col("label"))).alias("base_set"),
+        F.max(share).alias("score"),
+        F.collect_set(F.when(share >= LEAST, F.col("label"))).alias("method_set"),
+    )
+    return told.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
+        F.col("n_base").cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"),
         F.col("last_word").cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.coalesce("base_set", none)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(F.coalesce("base_set", none), F.coalesce("method_set", none))), ",").alias("labels"),
+        F.array_join(F.array_sort("base_set"), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base_set", "method_set")), ",").alias("labels"),
         F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
     )
 

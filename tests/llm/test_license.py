@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import duckdb
 
@@ -47,3 +48,13 @@ def test_sql_twin_and_empty_table(spark):
     key = lambda r: (r[0], r[1])
     assert sorted(map(tuple, L.scan(docs).collect()), key=key) == sorted(con.sql(L.oracle()).fetchall(), key=key)
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_nothing_is_written_and_no_python_runs(spark):
+    """Each file that an executor writes starts a command, which counts the executor's memory twice for a moment."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {*shared.rglob("*")}
+    out = L.scan(spark.createDataFrame(ROWS, "doc_id long, text string, row string"))
+    assert out.count() == len(ROWS) and {*shared.rglob("*")} == before
+    plan = L.template_positions(spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("LocalRelation"), plan
