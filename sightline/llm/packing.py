@@ -120,7 +120,9 @@ def queues_of(sums: DataFrame, shares: Mapping[str, int] | None, own: int) -> Da
     """(source, queue, weight, total) of rows (source, total)."""
     named = {r["source"] for r in sums.orderBy(F.desc("total"), "source").limit(own).collect()} | set(shares or ())
     rows = [(s, i, None if shares is None else int(shares.get(s, 1))) for i, s in enumerate(sorted(named))]
-    known = F.broadcast(sums.sparkSession.createDataFrame(rows, "source string, own int, share long"))  # as many as ``own`` and the shares at most
+    columns = [pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [()] * 3, [pa.string(), pa.int32(), pa.int64()], strict=True)]
+    # from Arrow: a list would start a second set of Python workers on the executors; as many rows as ``own`` and the shares at most
+    known = F.broadcast(sums.sparkSession.createDataFrame(pa.table(columns, ["source", "own", "share"]), "source string, own int, share long"))
     shared = F.lit(len(rows)) + F.pmod(F.xxhash64("source"), F.lit(own)).cast("int")
     weight = F.greatest("total", F.lit(1)) if shares is None else F.coalesce("share", F.lit(1))
     return sums.join(known, "source", "left").select("source", F.coalesce("own", shared).alias("queue"), weight.cast("long").alias("weight"), "total")

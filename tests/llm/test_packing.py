@@ -1,11 +1,18 @@
 import heapq
+import os
+import re
+import sys
+import time
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sightline.llm import packing
+from sightline.llm.common import map_arrow
 from sightline.llm.queries import vocabulary
 
 
@@ -94,3 +101,19 @@ def test_more_sources_than_queues_keep_the_large_ones_apart(spark):
         assert (whole[s] - want).abs().max() <= 2
     with pytest.raises(ValueError):
         packing.pack(docs, vocabulary(), shares={"big": 0})
+
+
+def test_workers_give_memory_back_and_there_is_one_set_of_them(spark):
+    def filled(batches):
+        for _ in batches:
+            small = [bytes(60_000) for _ in range(4000)]  # below the size that is mapped on its own
+            sys.pinned = bytes(60_000)  # above all of them
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64())], ["pid"])
+            del small
+
+    pid = map_arrow(spark.range(0, 1, 1, 1), filled, "pid long").collect()[0].pid
+    time.sleep(1)
+    assert int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) < 200_000
+    sums = spark.range(3).selectExpr("concat('s', id) AS source", "id AS total")
+    plan = packing.queues_of(sums, None, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "RDD" not in plan, plan
