@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 
 from sightline.plans.registry import n, query, r6
 from sightline.sources import views as S
+from sightline.sources.shared import shared_dir
 from sightline.sources.views import with_views
 from sightline.streaming import sessions as T
 
 
 def drained(spark, stream, mode: str):
-    """The rows of a stream once all its files are read, kept in memory under a name of their own."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    """The rows of a stream once all its files are read.
+
+    Executors write each batch to a folder of its own in the shared folder, so no row passes through the driver and
+    a repeated batch replaces itself. In complete mode a batch holds all rows so far: the last one counts.
+    """
+    path, batches = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", {}
+
+    def keep(batch, number: int) -> None:
+        batches[number] = f"{path}/rows-{number}"
+        batch.write.mode("overwrite").parquet(batches[number])
+
+    running = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
-        running.processAllAvailable()
+        running.awaitTermination()
     finally:
         running.stop()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*([batches[max(batches)]] if mode == "complete" else batches.values()))
 
 
 def streamed(spark, sf_dir: str, name: str):
@@ -39,10 +51,10 @@ def stream_sessions(spark, sf_dir):
 @query(with_views("""o AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY offset_s, event_id) AS i FROM frames), l AS (SELECT sequence_id, list(score ORDER BY offset_s, event_id) AS xs FROM frames GROUP BY sequence_id),
     e AS (SELECT o.sequence_id, list_reduce(xs[1:i], lambda a, x: a * 0.5::DOUBLE + x * 0.5::DOUBLE) AS ema FROM o JOIN l USING (sequence_id)) SELECT sequence_id, count(*) AS n, sum((ema >= 0.6)::INT)::BIGINT AS alarms, round(avg(ema), 6) AS mean FROM e GROUP BY sequence_id""", "frames"))
 def stream_alarm(spark, sf_dir):
-    """Smoothed alarms with keyed state over the frames of all sequences."""
+    """Smoothed alarms with keyed state over the frames of all sequences; one batch, as files have no order in time."""
     frames = S.frames(spark, sf_dir).select("sequence_id", "event_id", "offset_s", "score")
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
-    frames.coalesce(1).write.parquet(path)
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    frames.write.parquet(path)
     stream = spark.readStream.schema(frames.schema).parquet(path)
     out = drained(spark, T.alarms(stream, 1.0, 0.6), "append")
     return out.groupBy("sequence_id").agg(F.count("*").alias("n"), n(F.sum(F.col("alarm").cast("int")), "alarms"), r6(F.avg("ema"), "mean"))

@@ -163,3 +163,17 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.append_missing(rows.union(spark.createDataFrame([(3, "c")], rows.schema)), out, ["k"])
     assert spark.read.parquet(out).count() == 3
     assert sinks.markdown(rows).splitlines()[2] == "| 1 | a |"
+
+
+def test_drained_rows_stay_in_the_shared_folder(spark, tmp_path):
+    from sightline.plans.streams import drained
+
+    for k in range(3):
+        spark.createDataFrame([(k, k), (9, k)], "a int, b int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("a int, b int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows, sums = drained(spark, stream, "append"), drained(spark, stream.groupBy("a").agg(F.sum("b").alias("s")), "complete")
+    assert sorted(map(tuple, rows.collect())) == [(0, 0), (1, 1), (2, 2), (9, 0), (9, 1), (9, 2)]
+    assert sorted(map(tuple, sums.collect())) == [(0, 0), (1, 1), (2, 2), (9, 3)]
+    assert rows.inputFiles() and sums.inputFiles()  # not a table in the driver's memory
+    (tmp_path / "none").mkdir()
+    assert drained(spark, spark.readStream.schema("a int, b int").parquet(str(tmp_path / "none")), "append").collect() == []
