@@ -28,9 +28,6 @@ def dedup_keep_first(spark, sf_dir):
     return first.select("f.doc_id", "f.camera")
 
 
-#: Blocks of hashes that meet each other.
-DISTANCE_BLOCKS = 8
-
 NEAR = "near AS (SELECT a.vec_id, b.hash AS near_hash, bit_count(xor(a.hash16, b.hash))::BIGINT AS distance FROM hashes a, (SELECT DISTINCT hash16 AS hash FROM hashes WHERE split = 'test') b WHERE a.split <> 'test' AND bit_count(xor(a.hash16, b.hash)) <= 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, near_hash) = 1)"
 
 
@@ -62,14 +59,8 @@ def clean_set(spark, sf_dir):
 
 @query(with_views("x AS (SELECT bit_count(xor(a.hash60, b.hash60)) AS d FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id) SELECT d::BIGINT AS distance, count(*) AS n FROM x GROUP BY d", "hashes"))
 def hash_distances(spark, sf_dir):
-    """Distances of all pairs: equal hashes count once with their number, and the rest meets block by block, so a task holds two blocks."""
-    h = S.hashes(spark, sf_dir).groupBy("hash60").agg(F.count("*").alias("c"))
-    blocks = h.withColumn("block", F.pmod(F.xxhash64("hash60"), F.lit(DISTANCE_BLOCKS)).cast("int"))
-    x = blocks.select("block", F.col("hash60").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.col("block"), F.lit(DISTANCE_BLOCKS - 1))).alias("other"))
-    y = blocks.select(F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("hash60").alias("b"), F.col("c").alias("cb"))
-    pairs = x.join(y, ["block", "other"]).where("block < other OR a <= b")
-    number = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb")).cast("long")
-    return pairs.groupBy(n(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "distance")).agg(F.sum(number).alias("n")).where("n > 0")
+    """Distances of all pairs: equal hashes count once with their number, and the rest meets block by block."""
+    return M.pair_distances(S.hashes(spark, sf_dir).select(F.col("hash60").alias("hash")))
 
 
 @query(with_views("g AS (SELECT hash, camera, count(*) AS c, count(DISTINCT lang) AS langs FROM docs GROUP BY hash, camera), k AS (SELECT *, CASE WHEN c = 1 THEN 'single' WHEN langs > 1 THEN 'mixed' ELSE 'copies' END AS kind FROM g) SELECT kind, count(*) AS groups, sum(c)::BIGINT AS n FROM k GROUP BY kind", "docs"))

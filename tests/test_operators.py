@@ -177,3 +177,19 @@ def test_drained_rows_stay_in_the_shared_folder(spark, tmp_path):
     assert rows.inputFiles() and sums.inputFiles()  # not a table in the driver's memory
     (tmp_path / "none").mkdir()
     assert drained(spark, spark.readStream.schema("a int, b int").parquet(str(tmp_path / "none")), "append").collect() == []
+
+
+def test_pair_distances_of_many_blocks(spark):
+    draw = random.Random(3)
+    values = [draw.getrandbits(64) - (1 << 63) for _ in range(60)] + [5] * 4 + [-1] * 3
+    want = {}
+    for i, x in enumerate(values):
+        for y in values[:i]:
+            d = ((x ^ y) & ((1 << 64) - 1)).bit_count()
+            want[d] = want.get(d, 0) + 1
+    rows = spark.createDataFrame([(v,) for v in values], "hash long")
+    for block, spread in ((1000, 1), (7, 2)):
+        assert {r.distance: r.n for r in matching.pair_distances(rows, block, spread).collect()} == want
+    assert matching.pair_distances(rows.limit(1)).collect() == matching.pair_distances(rows.limit(0)).collect() == []
+    plan = matching.pair_distances(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # few bytes, but not one task
