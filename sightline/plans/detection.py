@@ -11,7 +11,6 @@ from sightline.operators import matching as M
 from sightline.operators import transfer as T
 from sightline.plans.registry import n, query, r6
 from sightline.sources import views as S
-from sightline.sources.shared import written_once
 from sightline.sources.views import with_views
 
 IOU = """CASE WHEN d.w * d.h + g.w * g.h - greatest(least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x), 0) * greatest(least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y), 0) > 0
@@ -40,7 +39,7 @@ IMAGES = """im AS (SELECT i.image_id, i.camera, i.split, coalesce(best, 0.0)::DO
 def base(spark, sf_dir, tau=0.5):
     """Images, boxes, detections, and matches with their split; the matches are made once in a session."""
     images, gt, det = S.images(spark, sf_dir), S.gt_boxes(spark, sf_dir), S.detections(spark, sf_dir)
-    return images, gt, det, written_once(spark, ("matched", sf_dir, tau), lambda: M.matched(det, gt, tau).join(images, "image_id"))
+    return images, gt, det, S.by_image(spark, sf_dir, "matched", lambda: M.matched(det, gt, tau).join(images, "image_id"), tau)
 
 
 def split_gt(images, gt):

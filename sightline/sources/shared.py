@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, as a table of this application; inputs must not change while it runs."""
+def written_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], by: str, buckets: int) -> DataFrame:
+    """What ``make`` gives, as a table of this application; inputs must not change while it runs.
+
+    Rows lie in buckets by the hash of a column, so tables with equal ``by`` and ``buckets`` are joined and grouped
+    by it without a shuffle. The catalog only names the files: they are in the shared folder.
+    """
     key = (spark.sparkContext.applicationId, *key)
     if key not in _WRITTEN:
-        path = f"{shared_dir(spark)}/{key[1]}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+        name = f"{key[1]}_{uuid.uuid4().hex}"
+        make().write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        _WRITTEN[key] = f"`{spark.catalog.currentDatabase()}`.`{name}`"
+    return spark.table(_WRITTEN[key])

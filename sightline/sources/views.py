@@ -5,6 +5,8 @@ All randomness is keyed by MD5, so any engine builds the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from sightline.sources.shared import written_once
 
 #: A first positive event must follow the first event by at least this many seconds.
 RUN_IN = 864_000
+#: Bytes of lineitem files for each bucket of images: about 220,000 lines, which a task sorts in memory.
+BUCKET_BYTES = 4 << 20
+
+_BUCKETS: dict[tuple, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,58 +29,74 @@ def seconds(ts) -> F.Column:
     return F.unix_seconds(F.col(ts).cast("timestamp"))
 
 
+def by_image(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], *key) -> DataFrame:
+    """A table of this application in buckets of images; ``make`` must give a column image_id."""
+    return written_once(spark, (name, sf_dir, *key), make, "image_id", buckets(spark, sf_dir))
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """How many buckets of images: one for each core, as far as shuffles have them, and more for large inputs; fixed once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUCKETS:
+        size = int(str(table(spark, sf_dir, "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        _BUCKETS[key] = max(min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-size // BUCKET_BYTES))
+    return _BUCKETS[key]
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_image(spark, sf_dir, "images", lambda: _images(spark, sf_dir))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = uniform("split", "o_orderkey")
     split = F.when(u < 0.25, "src_cal").when(u < 0.5, "tgt_cal").otherwise("tgt_test")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 24).alias("camera"), split.alias("split"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(buckets(spark, sf_dir), "o_orderkey")
+    return rows.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 24).alias("camera"), split.alias("split"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with a unique key; (order, line number) is not one."""
-    raw = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    return raw.withColumn("line_id", F.col("l_orderkey") * 100 + F.row_number().over(order))
+    """Boxes of all lines with a unique key, as (order, line number) is not one; the only shuffle of lineitem."""
+    return by_image(spark, sf_dir, "lines", lambda: _lines(spark, sf_dir))
 
 
-def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_once(spark, ("boxes", sf_dir), lambda: _gt(lines(spark, sf_dir)))
-
-
-def _gt(rows: DataFrame) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda c: c.cast("double")
-    return rows.where("l_linestatus = 'F'").select(
-        F.col("line_id").alias("ann_id"),
+    raw = table(spark, sf_dir, "lineitem").repartition(buckets(spark, sf_dir), "l_orderkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    return raw.withColumn("line_id", F.col("l_orderkey") * 100 + F.row_number().over(order)).select(
+        "line_id",
         F.col("l_orderkey").alias("image_id"),
         F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("category_id"),
         d(F.col("l_partkey") % 400).alias("x"),
         d(F.col("l_suppkey") % 300).alias("y"),
         (40 + 2 * F.col("l_quantity")).alias("w"),
         d(40 + 10 * F.col("l_linenumber")).alias("h"),
+        F.col("l_linestatus").alias("status"),
     )
 
 
+def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).where("status = 'F'").select(F.col("line_id").alias("ann_id"), "image_id", "category_id", "x", "y", "w", "h")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_once(spark, ("detections", sf_dir), lambda: _detections(spark, sf_dir))
+    return by_image(spark, sf_dir, "detections", lambda: _detections(spark, sf_dir))
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jittered boxes of most ground truth, and background boxes; scores are squared off the source split."""
-    rows = lines(spark, sf_dir)
-    u = lambda salt: uniform(salt, "ann_id")
-    hits = _gt(rows).where(u("hit") < 0.8).select(
-        F.col("ann_id").alias("det_id"), "image_id", "category_id",
-        (F.col("x") + 16 * (u("dx") - 0.5)).alias("x"), (F.col("y") + 16 * (u("dy") - 0.5)).alias("y"),
-        (F.col("w") * (0.85 + 0.3 * u("dw"))).alias("w"), (F.col("h") * (0.85 + 0.3 * u("dh"))).alias("h"),
-        (1 - 0.5 * u("q") * u("q")).alias("score"),
-    )
-    v = lambda salt: uniform(salt, "line_id")
-    background = rows.where("l_linestatus = 'O'").where(v("bg") < 0.6).select(
-        F.col("line_id").alias("det_id"), F.col("l_orderkey").alias("image_id"), F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("category_id"),
-        (500 * v("bx")).alias("x"), (380 * v("by")).alias("y"), F.lit(60.0).alias("w"), F.lit(60.0).alias("h"), (0.3 + 0.5 * v("bs")).alias("score"),
+    u = lambda salt: uniform(salt, "line_id")
+    hit, background = F.col("status") == "F", F.col("status") == "O"
+    either = lambda a, b: F.when(hit, a).otherwise(b)
+    rows = lines(spark, sf_dir).where((hit & (u("hit") < 0.8)) | (background & (u("bg") < 0.6))).select(
+        F.col("line_id").alias("det_id"), "image_id", "category_id",
+        either(F.col("x") + 16 * (u("dx") - 0.5), 500 * u("bx")).alias("x"), either(F.col("y") + 16 * (u("dy") - 0.5), 380 * u("by")).alias("y"),
+        either(F.col("w") * (0.85 + 0.3 * u("dw")), F.lit(60.0)).alias("w"), either(F.col("h") * (0.85 + 0.3 * u("dh")), F.lit(60.0)).alias("h"),
+        either(1 - 0.5 * u("q") * u("q"), 0.3 + 0.5 * u("bs")).alias("score"),
     )
     split = images(spark, sf_dir).select("image_id", "split")
     score = F.when(F.col("split") == "src_cal", F.col("score")).otherwise(F.col("score") * F.col("score"))
-    return hits.unionByName(background).join(split, "image_id").withColumn("score", F.round(score, 6)).drop("split")
+    return rows.join(split, "image_id").withColumn("score", F.round(score, 6)).drop("split")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small hand-made cases: ties, empty sides, bin edges, closed forms, sources and sinks."""
 
 import json
+import os
 import random
 
 import pytest
@@ -207,3 +208,16 @@ def test_nearest_narrow_hash_meets_no_pairs(spark, radius):
         assert {r.id: (r.distance, r.near_hash) for r in got.collect()} == want
         if width == 10:
             assert "piece" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_tables_by_image_meet_without_a_shuffle(spark):
+    from sightline.plans.detection import base, image_stats
+
+    images, gt, det, m = base(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (det.join(images, "image_id"), matching.matched(det, gt), matching.image_max(images, det, gt), image_stats(images, gt, m), matching.rank_in_image(det)):
+            assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
