@@ -47,9 +47,9 @@ def holm(tests: DataFrame, p: str, key: str, keys: list[str] | None = None) -> D
 
 
 def jackknife_ratio(units: DataFrame, top: str, bottom: str) -> DataFrame:
-    """Leave-one-out values of a ratio of sums, by subtraction from the totals."""
-    every = Window.partitionBy()
-    return units.withColumn("value", F.try_divide(F.sum(top).over(every) - F.col(top), F.sum(bottom).over(every) - F.col(bottom)))
+    """Leave-one-out values of a ratio of sums, by subtraction from the totals: one row, sent to where the units are."""
+    totals = units.agg(F.sum(top).alias("t_"), F.sum(bottom).alias("b_"))
+    return units.join(F.broadcast(totals)).withColumn("value", F.try_divide(F.col("t_") - F.col(top), F.col("b_") - F.col(bottom))).drop("t_", "b_")
 
 
 def subsample(units: DataFrame, unit: str, n: int, draw: int) -> DataFrame:

@@ -221,3 +221,10 @@ def test_tables_by_image_meet_without_a_shuffle(spark):
             assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_jackknife_gathers_no_units(spark):
+    units = spark.range(5).select(F.col("id").alias("top"), (F.col("id") + 1).alias("bottom"))
+    got = inference.jackknife_ratio(units, "top", "bottom")
+    assert got.columns == ["top", "bottom", "value"] and {r.top: r.value for r in got.collect()} == {k: (10 - k) / (15 - k - 1) for k in range(5)}
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
