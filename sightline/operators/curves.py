@@ -57,9 +57,17 @@ def image_roc(images: DataFrame, steps: int = 100) -> DataFrame:
 
 def nth_lowest(rows: DataFrame, value: str, k, keys: list[str]) -> DataFrame:
     """The k-th value (from 1, an expression over (n)) in ascending order of each key."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.select(*keys, value, F.row_number().over(order).alias("r_"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    return ranked.where(F.col("r_") == k).select(*keys, F.col(value).alias("t"), "n")
+    run = places(rows, value, F.col(value).asc(), keys)
+    n = run.groupBy(*keys).agg(F.max("last").alias("n"))
+    met = run.join(F.broadcast(n), keys).where((F.col("first") <= k) & (k <= F.col("last")))
+    return met.select(*keys, F.col(value).alias("t"), "n")
+
+
+def places(rows: DataFrame, value: str, order, keys: list[str]) -> DataFrame:
+    """(keys, value, first, last): the places from 1 that each distinct value takes in its key's order; rows are counted, not sorted."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c_"))
+    run = counts.withColumn("last", F.sum("c_").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return run.select(*keys, value, (F.col("last") - F.col("c_") + 1).alias("first"), "last")
 
 
 def kept_rate(scores: DataFrame, need: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from math import exp, inf, lgamma, log, log1p
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.curves import places
+
 
 def wasserstein(a: DataFrame, b: DataFrame, value: str = "score") -> DataFrame:
     """One-dimensional W1 between two samples: the area between their distribution functions.
@@ -24,11 +26,12 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str = "score") -> DataFrame:
 def quantile_match(source: DataFrame, target: DataFrame, t: float, value: str = "score") -> DataFrame:
     """The target's quantile at the share of source values below t."""
     share = source.agg(F.avg((F.col(value) < t).cast("double")).alias("share"))
-    ranked = target.select(F.col(value).alias("v")).withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)
+    ranked = places(target.select(F.col(value).alias("v")), "v", F.asc("v"), [])
     at = F.col("share") * (F.col("n") - 1)
     spots = share.join(F.broadcast(target.agg(F.count("*").alias("n")))).select("share", F.floor(at).alias("low"), F.ceil(at).alias("high"), (at - F.floor(at)).alias("part"))
-    ends = ranked.join(F.broadcast(spots), F.col("i").isin(F.col("low"), F.col("high")))
-    return ends.groupBy("share").agg((F.max(F.when(F.col("i") == F.col("low"), F.col("v"))) * (1 - F.first("part")) + F.max(F.when(F.col("i") == F.col("high"), F.col("v"))) * F.first("part")).alias("t"))
+    holds = lambda spot: (F.col("first") <= F.col(spot) + 1) & (F.col(spot) + 1 <= F.col("last"))
+    ends = ranked.join(F.broadcast(spots), holds("low") | holds("high"))
+    return ends.groupBy("share").agg((F.max(F.when(holds("low"), F.col("v"))) * (1 - F.first("part")) + F.max(F.when(holds("high"), F.col("v"))) * F.first("part")).alias("t"))
 
 
 def binned(rows: DataFrame, n: int = 500) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import centre_to_corner, uniform
 from sightline.operators import calibration as C
+from sightline.operators import curves as V
 from sightline.operators import inference as I
 from sightline.operators import matching as M
 from sightline.plans.detection import IMAGES, VIEWS, base, matched_sql
@@ -27,13 +28,12 @@ RANKED = "k AS (SELECT count(*) FILTER (WHERE score >= 0.5) / (SELECT count(*) F
 
 def nth_largest(spark, sf_dir, rule):
     images = S.images(spark, sf_dir)
-    rows = S.detections(spark, sf_dir).join(images, "image_id").select("split", "det_id", "score")
+    rows = S.detections(spark, sf_dir).join(images, "image_id").select("split", "score")
     size = images.groupBy("split").agg(F.count("*").alias("n"))
     kept = rows.where("split = 'src_cal'").agg(F.sum((F.col("score") >= 0.5).cast("int")).alias("kept"))
     kappa = kept.join(F.broadcast(size.where("split = 'src_cal'").select(F.col("n").alias("m")))).select((F.col("kept") / F.col("m")).alias("kappa"))
     need = size.where("split <> 'src_cal'").join(F.broadcast(kappa)).select("split", rule(F.col("kappa") * F.col("n")).cast("long").alias("k"))
-    i = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("score"), "det_id"))
-    return rows.withColumn("i", i).join(F.broadcast(need), "split").where("i = k").select("split", "k", r6("score", "t"))
+    return V.places(rows, "score", F.desc("score"), ["split"]).join(F.broadcast(need), "split").where("k BETWEEN first AND last").select("split", "k", r6("score", "t"))
 
 
 @query(with_views(f"{RANKED} SELECT r.split, i AS k, round(score, 6) AS t FROM r JOIN size USING (split), k WHERE i = ceil(kappa * n - 1e-9)", *VIEWS))

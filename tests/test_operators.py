@@ -228,3 +228,15 @@ def test_jackknife_gathers_no_units(spark):
     got = inference.jackknife_ratio(units, "top", "bottom")
     assert got.columns == ["top", "bottom", "value"] and {r.top: r.value for r in got.collect()} == {k: (10 - k) / (15 - k - 1) for k in range(5)}
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nth_values_of_equal_scores_sort_no_rows(spark):
+    rows = spark.createDataFrame([("a", s, k) for k, s in enumerate([0.5, 0.5, 0.5, 0.2, 0.9])] + [("b", 0.1, 9)], "k string, s double, id int")
+    got = curves.places(rows, "s", F.desc("s"), ["k"])
+    assert {tuple(r) for r in got.collect()} == {("a", 0.9, 1, 1), ("a", 0.5, 2, 4), ("a", 0.2, 5, 5), ("b", 0.1, 1, 1)}
+    for n, want in ((1, {"a": 0.2, "b": 0.1}), (2, {"a": 0.5}), (4, {"a": 0.5}), (5, {"a": 0.9}), (6, {}), (0, {})):
+        low = curves.nth_lowest(rows, "s", F.lit(n), ["k"])
+        assert {r.k: r.t for r in low.collect()} == want
+    assert "row_number" not in low._jdf.queryExecution().optimizedPlan().toString()
+    match = transfer.quantile_match(rows.where("k = 'a'"), rows.where("k = 'a'"), 0.9, "s")
+    assert match.first().t == pytest.approx(0.5 * 0.8 + 0.9 * 0.2) and "row_number" not in match._jdf.queryExecution().optimizedPlan().toString()
