@@ -240,3 +240,19 @@ def test_nth_values_of_equal_scores_sort_no_rows(spark):
     assert "row_number" not in low._jdf.queryExecution().optimizedPlan().toString()
     match = transfer.quantile_match(rows.where("k = 'a'"), rows.where("k = 'a'"), 0.9, "s")
     assert match.first().t == pytest.approx(0.5 * 0.8 + 0.9 * 0.2) and "row_number" not in match._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_thresholds_go_to_the_detections(spark):
+    m = spark.createDataFrame([("a", 0.9, 1), ("a", 0.5, 0), ("a", 0.1, 1)], "k string, score double, is_tp int")
+    n_gt = spark.createDataFrame([("a", 4), ("b", 2)], "k string, n_gt long")
+    cuts = spark.createDataFrame([("a", 0.5), ("a", 0.95), ("b", 0.5)], "k string, t double")
+    got = curves.at_threshold(m, n_gt, cuts, ["k"])
+    assert {(r.k, r.t): (r.tp, r.nd, r.f1) for r in got.collect()} == {("a", 0.5): (1, 2, 2 / 6), ("a", 0.95): (0, 0, 0.0), ("b", 0.5): (0, 0, 0.0)}
+    best = curves.f1_optimum(curves.pr_curve(m, n_gt, ["k"]), ["k"])
+    assert best.columns == curves.pr_curve(m, n_gt, ["k"]).columns and [(r.k, r.score, r.tp, r.nd) for r in best.collect()] == [("a", 0.1, 2, 3)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [k" in plan and "row_number" not in best._jdf.queryExecution().optimizedPlan().toString()
